@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratagraph.llm import bpe, fingerprints, media, ngram_join, substring_dedup, suffix_dedup, url_rules
+from stratagraph.llm import bpe, fingerprints, media, ngram_join, pii, substring_dedup, suffix_dedup, toxicity, url_rules
 
 #: The rules that op5 applies: (verdict, host, path).
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -38,6 +38,10 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_classes(_table(spark, sf_dir, "documents"), size=4, percent=85).drop("k")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(_table(spark, sf_dir, "documents"))
+
+
 def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(_table(spark, sf_dir, "pages"), url_rules.rules_frame(spark, RULES))
 
@@ -47,6 +51,10 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), _vocabulary())
 
@@ -59,8 +67,10 @@ QUERIES = {
     "op1_media": op1_media,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_ngram_join": op3_ngram_join,
+    "op4_pii": op4_pii,
     "op5_url_rules": op5_url_rules,
     "op6_suffix_dedup": op6_suffix_dedup,
+    "op8_toxicity": op8_toxicity,
     "op9_bpe": op9_bpe,
     "op10_fingerprints": op10_fingerprints,
 }
