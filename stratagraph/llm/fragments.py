@@ -24,13 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratagraph.llm import textnum as T
+from stratagraph.llm.session import materialise
 
 BASE_1 = 0xC2B2AE3D27D4EB4F | 1
 BASE_2 = 0x165667B19E3779F9 | 1
 #: 64-bit values of single bytes, for byte windows.
 _BYTE_VALUE = T.mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
 
-FRAGMENT = "doc_id long, k long, h long, c1 long, c2 long, start long, cnt int"
+FRAGMENT = "doc_id long, k int, h long, c1 long, c2 int, start long, cnt int"
 
 
 def units(unit: str, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -85,7 +86,7 @@ def fragments(docs: DataFrame, unit: str, k: int, q: int) -> DataFrame:
                 if len(row):
                     take = pa.array(row + a)
                     yield pa.RecordBatch.from_arrays(
-                        [ids.take(take), keys.take(take), *(pa.array(x.view(np.int64)) for x in (h, c1, c2)), pa.array(start), pa.array(count.astype(np.int32))],
+                        [ids.take(take), keys.take(take), pa.array(h.view(np.int64)), pa.array(c1.view(np.int64)), pa.array((c2 >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(start), pa.array(count.astype(np.int32))],
                         names=["doc_id", "k", "h", "c1", "c2", "start", "cnt"],
                     )
 
@@ -95,7 +96,8 @@ def fragments(docs: DataFrame, unit: str, k: int, q: int) -> DataFrame:
 def candidates(docs: DataFrame, unit: str, k: int, q: int) -> DataFrame:
     """Fragments whose minimizer hash occurs more than once; nothing repeated is outside them."""
     found = fragments(docs, unit, k, q)
-    repeated = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    # Written first, so that Spark can split a very frequent hash in the join.
+    repeated = materialise(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "repeated")
     return found.join(repeated, "h")
 
 
@@ -104,10 +106,10 @@ def spans_by_document(spans: DataFrame) -> DataFrame:
     return spans.groupBy("doc_id", "k").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
 
 
-def with_spans(docs: DataFrame, spans: DataFrame, how: str = "left") -> DataFrame:
-    """Documents with ``spans``; a null id equals a null id."""
+def with_spans(docs: DataFrame, spans: DataFrame, how: str = "left", extra: tuple[str, ...] = ()) -> DataFrame:
+    """Documents with ``spans`` (and the columns ``extra``); a null id equals a null id."""
     s = spans.withColumnRenamed("doc_id", "_d").withColumnRenamed("k", "_k")
-    return docs.join(s, (docs["k"] == s["_k"]) & docs["doc_id"].eqNullSafe(s["_d"]), how).select("doc_id", "k", "text", "spans")
+    return docs.join(s, (docs["k"] == s["_k"]) & docs["doc_id"].eqNullSafe(s["_d"]), how).select("doc_id", "k", "text", "spans", *extra)
 
 
 def _flat(column: pa.Array, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -128,9 +130,10 @@ def _pack(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, pad: int) -> n
     return out
 
 
-def remove(docs: DataFrame, unit: str, want_text: bool = False) -> DataFrame:
+def remove(docs: DataFrame, unit: str, want_text: bool = False, extra: tuple[str, ...] = ()) -> DataFrame:
     """Apply ``spans``: sizes, removed units, removed runs, digest of what is kept (and the kept text)."""
-    schema = "doc_id long, k long, n_units long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * want_text
+    schema = "doc_id long, k int, n_units long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * want_text
+    schema += "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.select(*extra).schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,6 +169,6 @@ def remove(docs: DataFrame, unit: str, want_text: bool = False) -> DataFrame:
                 if want_text:
                     columns.append(pa.array([t.tobytes() for t in texts], pa.binary()))
                     names.append("kept")
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                yield pa.RecordBatch.from_arrays([*columns, *(batch.column(c).slice(a, b - a) for c in extra)], names=[*names, *extra])
 
     return docs.mapInArrow(run, schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -46,15 +46,20 @@ def drop_materialised(df: DataFrame) -> None:
         p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
+def text_key(text: Column) -> Column:
+    """16 bits of the text's hash; null counts as empty."""
+    return F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(1 << 16)).cast("int")
+
+
 def keyed(docs: DataFrame, *extra: str) -> DataFrame:
-    """doc_id, k (64-bit digest of id and text, to join rows back) and text, null text as empty.
+    """doc_id, k (16 bits of the text's hash, to tell rows of one id apart) and text, null text as empty.
 
     Only these columns are kept, so other columns of ``docs`` can't clash.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        F.xxhash64(F.col("doc_id").cast("long"), text).alias("k"),
+        text_key(text).alias("k"),
         text.alias("text"),
         *extra,
     )

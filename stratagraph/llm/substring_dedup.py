@@ -12,7 +12,7 @@ any shuffle into fragments (consecutive edges with one minimizer, see
    same minimizer, i.e. where paths branch, and count those edges.
 
 Every fragment and edge carries its source coordinates (document, word) and
-two independent 64-bit digests; a span counts as repeated only if both agree
+two independent digests (64 and 32 bits for fragments, 64 each for edges); a span counts as repeated only if both agree
 with the other source's.
 
 Defined results: null or blank texts have no words; a row that repeats
@@ -60,7 +60,7 @@ def _edges(docs: DataFrame, k: int) -> DataFrame:
                     names=["doc_id", "k", "e1", "e2", "start", "weight"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, k long, e1 long, e2 long, start long, weight long")
+    return docs.mapInArrow(run, "doc_id long, k int, e1 long, e2 long, start long, weight long")
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -79,14 +79,14 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     return whole.unionByName(single)
 
 
-def remove_repeats(documents: DataFrame, window: int = WINDOW, gram: int = GRAM, want_text: bool = False) -> DataFrame:
+def remove_repeats(documents: DataFrame, window: int = WINDOW, gram: int = GRAM, want_text: bool = False, extra: tuple[str, ...] = ()) -> DataFrame:
     """Documents without the words that repeated windows of ``window`` words cover.
 
-    Returns doc_id, n_words, n_removed, n_spans, kept_sha256 and, on demand,
-    ``kept`` (the kept words joined by one space).
+    Returns doc_id, n_words, n_removed, n_spans, kept_sha256, the columns
+    ``extra`` and, on demand, ``kept`` (the kept words joined by one space).
     """
-    docs = keyed(documents)
+    docs = keyed(documents, *extra)
     spans = G.spans_by_document(repeated_spans(docs, window, gram))
-    out = G.remove(G.with_spans(docs, spans), "word", want_text)
-    columns = ["doc_id", F.col("n_units").alias("n_words"), "n_removed", "n_spans", "kept_sha256"]
-    return out.select(*columns, *([F.col("kept").cast("string").alias("kept"), "k"] if want_text else []))
+    out = G.remove(G.with_spans(docs, spans, extra=extra), "word", want_text, extra)
+    kept = [F.col("kept").cast("string").alias("kept")] if want_text else []
+    return out.select("doc_id", F.col("n_units").alias("n_words"), "n_removed", "n_spans", "kept_sha256", *kept, *extra)

@@ -109,7 +109,7 @@ def _content(docs: DataFrame, window: int) -> DataFrame:
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("k").take(take), pa.array(h), pa.array(start), content], names=["doc_id", "k", "h", "start", "content"])
 
-    return docs.mapInArrow(run, "doc_id long, k long, h long, start long, content binary")
+    return docs.mapInArrow(run, "doc_id long, k int, h long, start long, content binary")
 
 
 def _scan(content: DataFrame, window: int) -> DataFrame:
@@ -152,7 +152,7 @@ def _scan(content: DataFrame, window: int) -> DataFrame:
         if held:
             yield flush()
 
-    return content.mapInArrow(run, "doc_id long, k long, start long, length long")
+    return content.mapInArrow(run, "doc_id long, k int, start long, length long")
 
 
 def earlier_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
