@@ -54,6 +54,17 @@ def chunks(text: str) -> list[str]:
     return text.split()
 
 
+class Memory(dict):
+    """Packed ids by chunk; what is missing is encoded and kept."""
+
+    def __init__(self, encode: Callable[[str], bytes]):
+        self.encode = encode
+
+    def __missing__(self, chunk: str) -> bytes:
+        out = self[chunk] = self.encode(chunk)
+        return out
+
+
 class WordBpe:
     """Encoder and decoder for one tokenizer file."""
 
@@ -96,7 +107,7 @@ class WordBpe:
         self.sizes = np.array([len(b) for b in blobs], np.int64)
         self.offsets = np.cumsum(self.sizes) - self.sizes
         self.blob = np.frombuffer(b"".join(blobs), np.uint8)
-        self.memory: dict[str, bytes] = {}
+        self.memory = Memory(self.encode_chunk)
         self.words: dict[str, bytes] = {}
         whole = Tokenizer.from_file(path)
         self.normal, self.prepare = whole.normalizer, whole.pre_tokenizer
@@ -168,6 +179,14 @@ class WordBpe:
 
     def _plain(self, chunk: str) -> bytes:
         if chunk.isascii():
+            # Nearly all chunks are one word, or one with a mark after it.
+            if chunk.isalpha():
+                chunk = chunk.lower()
+                return self.words.get(chunk) or self._word(chunk)
+            head, mark = chunk[:-1], chunk[-1:]
+            if head.isalpha() and mark in ".,":
+                head = head.lower()
+                return (self.words.get(head) or self._word(head)) + (self.words.get(mark) or self._word(mark))
             words = self.pattern.findall(chunk.lower())
         elif max(chunk) < "\u0180":
             words = self.pattern.findall("".join(map(str.lower, unicodedata.normalize("NFC", chunk))))
@@ -188,18 +207,11 @@ class WordBpe:
 
     def packed(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""
-        parts = chunks(text)
         memory = self.memory
-        try:
-            return b"".join(map(memory.__getitem__, parts))
-        except KeyError:
-            if len(memory) > REMEMBERED:
-                memory.clear()
-                self.words.clear()
-            for c in parts:
-                if c not in memory:
-                    memory[c] = self.encode_chunk(c)
-            return b"".join(map(memory.__getitem__, parts))
+        if len(memory) > REMEMBERED:
+            memory.clear()
+            self.words.clear()
+        return b"".join(map(memory.__getitem__, chunks(text)))
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.packed(text), "<u4").tolist()

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from stratagraph.llm import textnum as T
 from stratagraph.llm.components import components
-from stratagraph.llm.session import keyed, materialise
+from stratagraph.llm.session import keyed, materialise, text_key
 
 BASE = 0x27D4EB2F165667C5 | 1
 #: Entries of the broadcast table of frequent n-grams (16 bytes each).
@@ -110,7 +110,7 @@ def _profiles(docs: DataFrame, size: int, percent: int, frequent: tuple[np.ndarr
                     names=["doc_id", "k", "n", "node", "profile", "prefix"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, k long, n long, node long, profile array<int>, prefix array<long>")
+    return docs.mapInArrow(run, "doc_id long, k int, n long, node long, profile array<int>, prefix array<long>")
 
 
 def _fetch(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -163,7 +163,10 @@ def _suffix_filter(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFram
 
 
 def link_classes(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, k, n_shingles, component_id): classes of documents linked by Jaccard >= percent/100."""
+    """(doc_id, k, n_shingles, component_id, label): classes of documents linked by Jaccard >= percent/100.
+
+    ``label`` is one value for each class with words, null for empty texts.
+    """
     docs = keyed(documents)
     whole = materialise(_profiles(docs, size, percent, _frequent(docs, size)), "profiles")
     nodes = whole.where("n > 0").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k")).alias("at"), F.first("n").alias("n"), F.first("profile").alias("profile"), F.first("prefix").alias("prefix"))
@@ -202,6 +205,18 @@ def link_classes(documents: DataFrame, size: int = 5, percent: int = 80) -> Data
 
     classes = nodes.join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
     least = classes.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    classes = classes.join(least, "label").select("node", "component_id")
-    empty = whole.where("n = 0").select("doc_id", "k", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return whole.where("n > 0").join(classes, "node").select("doc_id", "k", F.col("n").alias("n_shingles"), "component_id").unionByName(empty)
+    classes = classes.join(least, "label").select("node", "component_id", "label")
+    empty = whole.where("n = 0").select("doc_id", "k", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("label"))
+    return whole.where("n > 0").join(classes, "node").select("doc_id", "k", F.col("n").alias("n_shingles"), "component_id", "label").unionByName(empty)
+
+
+def keep_one(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``documents`` with the smallest id of each class; texts without words all stay."""
+    classes = link_classes(documents, size, percent)
+    first = classes.where("label IS NOT NULL").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k")).alias("at"))
+    stays = first.select("at.doc_id", "at.k").unionByName(classes.where("label IS NULL").select("doc_id", "k").distinct())
+    stays = stays.select(F.col("doc_id").alias("_d"), F.xxhash64("doc_id", "k").alias("_key"))
+    docs = documents.withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), text_key(F.col("text"))))
+    found = docs.join(stays, "_key").where(F.col("doc_id").eqNullSafe(F.col("_d")))
+    # A row that repeats another row is a copy of it; the join has dealt both to the same task.
+    return found.dropDuplicates(["_key"]).select(*documents.columns)

@@ -9,7 +9,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratagraph.llm import bpe, fingerprints, media, ngram_join, pii, substring_dedup, suffix_dedup, toxicity, url_rules
+from stratagraph.llm import (
+    bpe,
+    fingerprints,
+    media,
+    ngram_join,
+    packing,
+    pii,
+    substring_dedup,
+    suffix_dedup,
+    toxicity,
+    url_rules,
+)
 
 #: The rules that op5 applies: (verdict, host, path).
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -35,7 +46,7 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.link_classes(_table(spark, sf_dir, "documents"), size=4, percent=85).drop("k")
+    return ngram_join.link_classes(_table(spark, sf_dir, "documents"), size=4, percent=85).drop("k", "label")
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,6 +62,10 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), _vocabulary())
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -70,6 +85,7 @@ QUERIES = {
     "op4_pii": op4_pii,
     "op5_url_rules": op5_url_rules,
     "op6_suffix_dedup": op6_suffix_dedup,
+    "op7_packing": op7_packing,
     "op8_toxicity": op8_toxicity,
     "op9_bpe": op9_bpe,
     "op10_fingerprints": op10_fingerprints,

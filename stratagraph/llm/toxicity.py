@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
@@ -139,7 +139,7 @@ def _logistic(rows: np.ndarray, which: np.ndarray, label: np.ndarray, scale: np.
         mass = step / (step + 3)
         v, c = w + mass * (w - w_old), b + mass * (b - b_old)
         p = 1 / (1 + np.exp(-np.clip(np.bincount(rows, v[which] * value, n) + c, -40, 40)))
-        error = (p - label) / 1.0
+        error = p - label
         w_old, b_old = w, b
         w = v - rate * 20 * (np.bincount(which, error[rows] * value, k) / n + PENALTY * v)
         b = c - 0.5 * error.mean()
@@ -183,22 +183,23 @@ def fit(documents: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -
     return {"features": features, "weights": weights * ratio, "intercept": intercept}
 
 
-def held_out(column: str):
+def held_out(column: str) -> Column:
+    """Whether a row is kept from training: a fixed share of ids."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def score(documents: DataFrame, model: dict, threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:
     """doc_id (or the columns ``keep``), score and predicted for every row."""
     names = keep or ["doc_id"]
-    docs = documents.select(*names, F.coalesce("text", F.lit("")).alias("_text"))
-    schema = StructType([*docs.drop("_text").schema.fields, StructField("score", DoubleType()), StructField("predicted", IntegerType())])
+    docs = documents.select(*names, *(["text"] if "text" not in names else []))
+    schema = StructType([*docs.select(*names).schema.fields, StructField("score", DoubleType()), StructField("predicted", IntegerType())])
     known = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = known.value
         lookup = Lookup(model["features"])
         for batch in batches:
-            for a, b, data, offsets in T.runs(batch.column("_text")):
+            for a, b, data, offsets in T.runs(batch.column("text")):
                 rows, which = lookup.find(data, offsets)
                 z = np.bincount(rows, model["weights"][which], b - a) if len(rows) else np.zeros(b - a)
                 p = 1 / (1 + np.exp(-np.clip(z + model["intercept"], -40, 40)))
