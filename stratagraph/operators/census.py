@@ -145,13 +145,19 @@ def query_sql(g: CodeGraph, verbs: list[str] | None = None, accesses: list[str]
     if accesses:
         out = out.where(F.col("access").isin(accesses))
     if tables:
-        match = reduce(lambda a, b: a | b, [F.exists("tables", lambda t, n=n: (F.lower(t["name"]) == n) | (F.lower(F.element_at(F.split(t["name"], r"\."), -1)) == n if "." not in n else F.lit(False))) for n in map(str.lower, tables)])
-        out = out.where(match)
+        out = out.where(reduce(lambda a, b: a | b, [_names_table(n.lower()) for n in tables]))
     if term:
         out = out.where(has("query", term))
     return out.orderBy(F.lower("query"), "file", "line", "function")
 
 
+def _names_table(name: str) -> Column:
+    last = lambda t: F.element_at(F.split(F.lower(t["name"]), r"\."), -1)
+    if "." in name:
+        return F.exists("tables", lambda t: F.lower(t["name"]) == name)
+    return F.exists("tables", lambda t: last(t) == name)
+
+
 def errors(g: CodeGraph, q: str = "", tests: bool = True) -> DataFrame:
     """PRJ-11."""
     out = g.errors.where(has("message", q))

@@ -122,7 +122,7 @@ def fingerprint(g: CodeGraph) -> str:
     """PAG-04: an order-free hash over the rows of every relation that was given."""
     parts = []
     for name in sorted(g.relations):
-        df = g.relations[name]
+        df = getattr(g, name)
         plain = [F.to_json(F.struct(F.col(f.name))) if f.dataType.simpleString().startswith("map") else F.col(f.name) for f in df.schema.fields]
         r = df.select(F.xxhash64(*plain).alias("h")).agg(F.count("*").alias("n"), F.sum(F.col("h").cast("decimal(38,0)")).cast("string").alias("s")).first()
         parts.append(f"{name}:{r['n']}:{r['s']}")

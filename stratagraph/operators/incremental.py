@@ -30,7 +30,8 @@ def rebuild(old: CodeGraph, fresh: CodeGraph, changes: DataFrame) -> CodeGraph:
     """INC-02: a changed file replaces its whole folder; other records are reused."""
     dirs = changed_dirs(changes)
     out = {}
-    for name, df in old.relations.items():
+    for name in list(old.relations):
+        df = getattr(old, name)
         file = next((c for c in ("file", "path", "from_file") if c in df.columns), None)
         out[name] = df if file is None else reusable(df, dirs, file).unionByName(getattr(fresh, name), allowMissingColumns=True)
     return CodeGraph(old.spark, out)

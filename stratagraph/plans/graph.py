@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -10,9 +12,12 @@ from stratagraph.plans.schema import RELATIONS
 
 
 class CodeGraph:
-    """Relations by attribute; one that wasn't given is empty, with its schema."""
+    """Relations by attribute; one that wasn't given is empty, with its schema.
 
-    def __init__(self, spark: SparkSession, relations: dict[str, DataFrame]):
+    A relation may be given as a function that makes it; it is called when first asked for.
+    """
+
+    def __init__(self, spark: SparkSession, relations: dict[str, DataFrame | Callable[[], DataFrame]]):
         unknown = set(relations) - set(RELATIONS)
         if unknown:
             raise ValueError(f"unknown relations: {sorted(unknown)}")
@@ -25,6 +30,8 @@ class CodeGraph:
         found = self.relations.get(name)
         if found is None:
             found = self.relations[name] = self.spark.createDataFrame([], RELATIONS[name])
+        elif not isinstance(found, DataFrame):
+            found = self.relations[name] = found()
         return found
 
     def replace(self, **relations: DataFrame) -> CodeGraph:
@@ -32,13 +39,18 @@ class CodeGraph:
 
     def persisted(self) -> CodeGraph:
         """The same graph with its relations kept in memory or on disk for many queries."""
-        return CodeGraph(self.spark, {k: v.persist() for k, v in self.relations.items()})
+        return CodeGraph(self.spark, {k: getattr(self, k).persist() for k in self.relations})
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint into the folder the cluster names; a default is set only where none is."""
+    """Write to the folder that driver and executors share and read back: the lineage ends there.
+
+    The folder is ``spark.checkpoint.dir``; a default below the warehouse is used only where
+    none is set.  One job for each call, and lost executors lose nothing.
+    """
     spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        given = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(given or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_checkpoints"))
-    return df.checkpoint()
+    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_checkpoints")
+    path = f"{base.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    schema = df.schema
+    df.write.parquet(path)
+    return spark.read.schema(schema).parquet(path)

@@ -73,26 +73,26 @@ def _names(text: str, name: str) -> bool:
 def star_graph(spark: SparkSession, sf_dir: str) -> CodeGraph:
     """The relations of a code graph, each lazy."""
     v = lambda name: view(spark, sf_dir, name)
-    symbols = v("cg_symbols").selectExpr(
+    symbols = lambda: v("cg_symbols").selectExpr(
         "*", "'' AS doc", "signature AS method_signature", "CAST(NULL AS map<string,string>) AS interface_methods",
         "CASE WHEN kind = 'struct' THEN array(named_struct('name', part_type, 'type', brand, 'tag', concat('json:\"', lower(part_type), '\" db:\"', lower(brand), '\"'))) ELSE CAST(array() AS array<struct<name:string,type:string,tag:string>>) END AS struct_fields",
         "CASE WHEN kind = 'struct' THEN array(concat('*', brand)) ELSE CAST(array() AS array<string>) END AS embedded_structs",
         "sha2(signature, 256) AS declaration_digest",
     )
-    calls = v("cg_calls").selectExpr("caller AS caller_symbol_id", "caller AS caller_name", "callee AS callee_raw", "callee AS callee_symbol_id", "file", "line", "1 AS column", "false AS synthetic", "true AS precise", "resolution", "return_usage")
+    calls = lambda: v("cg_calls").selectExpr("caller AS caller_symbol_id", "caller AS caller_name", "callee AS callee_raw", "callee AS callee_symbol_id", "file", "line", "1 AS column", "false AS synthetic", "true AS precise", "resolution", "return_usage")
     return CodeGraph(
         spark,
         {
-            "modules": v("cg_modules").selectExpr("id", "path", "path AS dir"),
-            "packages": v("cg_packages").selectExpr("id", "name", "id AS import_path_best_effort", "id AS dir", "CAST(array() AS array<string>) AS files"),
+            "modules": lambda: v("cg_modules").selectExpr("id", "path", "path AS dir"),
+            "packages": lambda: v("cg_packages").selectExpr("id", "name", "id AS import_path_best_effort", "id AS dir", "CAST(array() AS array<string>) AS files"),
             "symbols": symbols,
             "calls": calls,
-            "imports": v("cg_imports").selectExpr("from_file", "from_package", "to_package AS import_path", "'' AS alias"),
-            "test_edges": v("cg_test_edges").selectExpr("test_id AS test_func", "target", "target AS target_symbol_id", "resolution", "'' AS file", "0 AS line", "0 AS column", "true AS precise"),
-            "routes": v("cg_routes").selectExpr("method", "path", "handler", "false AS inline_body", "authority AS file", "CAST(page_id AS INT) AS line", "handler AS function"),
-            "errors": v("cg_errors").selectExpr("message", "function", "'e.go' AS file", "line"),
-            "env_reads": v("cg_env_reads").selectExpr("env_key AS key", "'os.Getenv' AS accessor", "'e.go' AS file", "line", "function", "true AS precise"),
-            "sqls": v("cg_sqls").selectExpr("query", "function", "'q.go' AS file", "line", "verb", "access", "'exact' AS classification", "array(named_struct('name', table_name, 'access', access)) AS tables"),
-            "mutations": v("cg_mutations").selectExpr("*", "'assign' AS via", "true AS precise"),
+            "imports": lambda: v("cg_imports").selectExpr("from_file", "from_package", "to_package AS import_path", "'' AS alias"),
+            "test_edges": lambda: v("cg_test_edges").selectExpr("test_id AS test_func", "target", "target AS target_symbol_id", "resolution", "'' AS file", "0 AS line", "0 AS column", "true AS precise"),
+            "routes": lambda: v("cg_routes").selectExpr("method", "path", "handler", "false AS inline_body", "authority AS file", "CAST(page_id AS INT) AS line", "handler AS function"),
+            "errors": lambda: v("cg_errors").selectExpr("message", "function", "'e.go' AS file", "line"),
+            "env_reads": lambda: v("cg_env_reads").selectExpr("env_key AS key", "'os.Getenv' AS accessor", "'e.go' AS file", "line", "function", "true AS precise"),
+            "sqls": lambda: v("cg_sqls").selectExpr("query", "function", "'q.go' AS file", "line", "verb", "access", "'exact' AS classification", "array(named_struct('name', table_name, 'access', access)) AS tables"),
+            "mutations": lambda: v("cg_mutations").selectExpr("*", "'assign' AS via", "true AS precise"),
         },
     )
