@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 MARK = "\0"
-#: Entries of a worker's memory of words; it starts anew when full.
-REMEMBERED = 1 << 19
+#: Entries of a worker's memory of words (about 300 bytes each); it starts anew when full.
+REMEMBERED = 3 << 19
 # White space as Unicode has it, and the control characters that only str.split() takes for it.
 SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 NOT_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratagraph.llm.session import materialise
+from stratagraph.llm.session import drop, materialise
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -21,8 +21,11 @@ def components(edges: DataFrame) -> DataFrame:
         both = left.union(left.select("b", "a"))
         hook = both.groupBy(F.col("a").alias("x")).agg(F.min("b").alias("y")).select("x", F.least("x", "y").alias("y"))
         hook = materialise(hook, "hook")
+        old_labels, old_left = labels, left
         labels = materialise(labels.join(hook, labels["label"] == hook["x"], "left").select("node", F.coalesce("y", "label").alias("label")), "labels")
         ha, hb = hook.toDF("x", "p"), hook.toDF("z", "q")
         left = left.join(ha, left["a"] == ha["x"]).join(hb, left["b"] == hb["z"]).where("p <> q")
         left = materialise(left.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct(), "edges")
+        drop(old_labels, old_left, hook)
+    drop(left)
     return labels

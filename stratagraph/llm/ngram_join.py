@@ -3,13 +3,16 @@
 1. One pass gives each document its set's size, a 64-bit digest (the node of
    all documents with that set), a profile for the suffix filter, and its
    prefix: the first ``n - ceil(t n) + 1`` n-grams, rare ones first.  The
-   order puts frequent n-grams last, by a count of n-grams that repeat within
-   runs of documents; it holds the ``FREQUENT`` most frequent ones and falls
-   back to the hash for others, which changes cost but no result.
+   order is a function of the n-gram alone, so any such order gives the same
+   result; it decides the cost.  A quarter of all n-grams (by hash) is counted
+   over all documents: first come those of them that occur once, then n-grams
+   that weren't counted, then counted ones that repeat (a bitmap of
+   ``2**BITS`` bits holds them), last the ``FREQUENT`` most frequent by count.
 2. Prefix n-grams are grouped; those with two or more nodes give candidates
    under the length filter and the positional filter.
-3. A star round first tests each node against the most central node that it
-   shares most prefix n-grams with.  Linked nodes become one component.
+3. Star rounds first test each node against the most central node that it
+   shares most prefix n-grams with.  Linked nodes become one component; the
+   second round takes the nodes with most links for central.
 4. All candidates between different components follow: per n-gram, nodes
    outside its largest component against all others.  So large groups of near
    copies cost no pairs within a component and no link can be missed.
@@ -33,12 +36,17 @@ from pyspark.sql import functions as F
 
 from stratagraph.llm import textnum as T
 from stratagraph.llm.components import components
-from stratagraph.llm.session import keyed, materialise, text_key
+from stratagraph.llm.session import drop, keyed, materialise, small, text_key
 
 BASE = 0x27D4EB2F165667C5 | 1
 #: Entries of the broadcast table of frequent n-grams (16 bytes each).
 FREQUENT = 1 << 16
-RANGES = 16
+RANGES = 128
+#: Bits of the broadcast bitmap of repeated n-grams (16 MB), and the share of n-grams that is counted.
+BITS = 27
+COUNTED = 4
+#: Rows of ids that may be broadcast (24 bytes each); more are shuffled.
+BROADCAST_ROWS = 500_000
 
 
 def _sets(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarray]:
@@ -85,12 +93,39 @@ def _frequent(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     return token[by], top["n"].to_numpy(np.int64)[by]
 
 
-def _profiles(docs: DataFrame, size: int, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def _bitmap(docs: DataFrame, size: int) -> np.ndarray:
+    """One bit for each 27-bit prefix of a counted n-gram's hash that occurs in two or more documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, offsets in T.runs(batch.column("text")):
+                x = np.concatenate(_sets(data, offsets, size))
+                x = x[x % np.uint64(COUNTED) == 0] >> np.uint64(32)
+                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.uint32).view(np.int32))], names=["t"])
+
+    twice = docs.select("text").mapInArrow(run, "t int").groupBy("t").agg(F.count("*").alias("n")).where("n > 1")
+    place = F.shiftrightunsigned("t", 32 - BITS).cast("long")
+    rows = twice.groupBy(F.bitmap_bucket_number(place).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).toArrow()
+    out = np.zeros((2**BITS >> 15) + 2, "V4096").view(np.uint8).reshape(-1, 4096)
+    for b, bits in zip(rows["b"].to_pylist(), rows["bits"].to_pylist()):
+        out[b] = np.frombuffer(bits, np.uint8)
+    return out
+
+
+def _repeats(x: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    """Whether the bit of each hash is set; buckets count from 1 as Spark's do for places after 0."""
+    place = (x >> np.uint64(64 - BITS)).astype(np.int64)
+    bucket = np.where(place > 0, 1 + (place - 1) // 32768, 0)
+    at = np.where(place > 0, (place - 1) % 32768, 0)
+    return (bitmap[bucket, at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def _profiles(docs: DataFrame, size: int, percent: int, frequent: tuple[np.ndarray, np.ndarray], bitmap: np.ndarray) -> DataFrame:
     """One row a document: set size, node, suffix-filter profile, prefix."""
-    known = docs.sparkSession.sparkContext.broadcast(frequent)
+    known = docs.sparkSession.sparkContext.broadcast((*frequent, bitmap))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counts = known.value
+        hashes, counts, bitmap = known.value
         for batch in batches:
             for a, b, data, offsets in T.runs(batch.column("text")):
                 sizes, nodes, profile, prefix = [], [], [], []
@@ -98,52 +133,46 @@ def _profiles(docs: DataFrame, size: int, percent: int, frequent: tuple[np.ndarr
                     n = len(x)
                     sizes.append(n)
                     nodes.append(T.mix(T.mix(x ^ np.uint64(0x5851F42D4C957F2D)).sum(keepdims=True, dtype=np.uint64) + np.uint64(n))[0] if n else np.uint64(0))
-                    profile.append(np.diff(np.searchsorted(x, np.arange(1, RANGES, dtype=np.uint64) << np.uint64(60)), prepend=0, append=n).astype(np.int32))
-                    if n and len(hashes):
-                        at = np.minimum(np.searchsorted(hashes, x), len(hashes) - 1)
-                        often = np.where(hashes[at] == x, counts[at], 0)
-                        if often.any():
-                            x = x[np.argsort(often, kind="stable")]
+                    profile.append(np.diff(np.searchsorted(x, np.arange(1, RANGES, dtype=np.uint64) << np.uint64(57)), prepend=0, append=n).clip(max=127).astype(np.int8))
+                    if n:
+                        often = np.where(x % np.uint64(COUNTED) == 0, np.where(_repeats(x, bitmap), 2, 0), 1)
+                        if len(hashes):
+                            at = np.minimum(np.searchsorted(hashes, x), len(hashes) - 1)
+                            often = np.where(hashes[at] == x, counts[at] + 2, often)
+                        x = x[np.argsort(often, kind="stable")]
                     prefix.append(x[: n - -(-percent * n // 100) + 1].view(np.int64) if n else x.view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, b - a), batch.column("k").slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(profile, pa.list_(pa.int32())), pa.array(prefix, pa.list_(pa.int64()))],
+                    [batch.column("doc_id").slice(a, b - a), batch.column("k").slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(profile, pa.list_(pa.int8())), pa.array(prefix, pa.list_(pa.int64()))],
                     names=["doc_id", "k", "n", "node", "profile", "prefix"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, k int, n long, node long, profile array<int>, prefix array<long>")
+    return docs.mapInArrow(run, "doc_id long, k int, n long, node long, profile array<tinyint>, prefix array<long>")
 
 
-def _fetch(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(node, grams): the whole sets of ``wanted`` (node, doc_id, k), 8 bytes an n-gram."""
-    w = wanted.select("node", F.col("doc_id").alias("_d"), F.col("k").alias("_k"))
-    found = docs.join(w, (docs["k"] == w["_k"]) & docs["doc_id"].eqNullSafe(w["_d"])).select("node", "text")
+def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, text): a text for each of ``wanted`` (node, doc_id, k); texts shuffle smaller than sets."""
+    w = small(wanted.select("node", F.col("doc_id").alias("_d"), F.col("k").alias("_k")), BROADCAST_ROWS)
+    return docs.join(w, (docs["k"] == w["_k"]) & docs["doc_id"].eqNullSafe(w["_d"])).select("node", "text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, data, offsets in T.runs(batch.column("text")):
-                grams = [x.tobytes() for x in _sets(data, offsets, size)]
-                yield pa.RecordBatch.from_arrays([batch.column("node").slice(a, b - a), pa.array(grams, pa.binary())], names=["node", "grams"])
-
-    # A repeated row has the same text; one of them is enough.
-    return found.mapInArrow(run, "node long, grams binary").dropDuplicates(["node"])
 
-
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs (a, b) whose whole sets reach the threshold."""
-    left, right = sets.toDF("a", "x"), sets.toDF("b", "y")
+    left, right = texts.toDF("a", "x"), texts.toDF("b", "y")
     both = pairs.select("a", "b").join(left, "a").join(right, "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y")):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = np.sort(np.concatenate([x, y]))
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], names=["a", "b"])
+            for i, j, data, offsets in T.runs(batch.column("x")):
+                keep = []
+                other, at = T.buffers(batch.column("y").slice(i, j - i))
+                for x, y in zip(_sets(data, offsets, size), _sets(other[at[0] : at[-1]], at - at[0], size)):
+                    both = np.sort(np.concatenate([x, y]))
+                    common = int((both[1:] == both[:-1]).sum())
+                    keep.append(100 * common >= percent * (len(x) + len(y) - common))
+                yield pa.RecordBatch.from_arrays([batch.column(c).slice(i, j - i).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], names=["a", "b"])
 
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    # A repeated row has given its text twice.
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
 def _possible(percent: int, na: str, nb: str, pa_: str, pb: str):
@@ -157,51 +186,76 @@ def _suffix_filter(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFram
     """Pairs whose sets may still be close enough: the sizes of their parts in ranges of the hash differ little."""
     a = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("profile").alias("fa"))
     b = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("profile").alias("fb"))
-    apart = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.abs(x - y).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
+    apart = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.abs(x.cast("int") - y.cast("int")).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
     # |A|+|B| - 2 common <= (|A|+|B|) (100-p)/(100+p)
     return pairs.join(a, "a").join(b, "b").where(apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select("a", "b")
 
 
+def _texts(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(node, text) of all nodes in ``pairs``, written."""
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    return materialise(_fetch(docs, nodes.join(wanted, "node", "left_semi")), "texts")
+
+
 def link_classes(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, k, n_shingles, component_id, label): classes of documents linked by Jaccard >= percent/100.
 
     ``label`` is one value for each class with words, null for empty texts.
     """
     docs = keyed(documents)
-    whole = materialise(_profiles(docs, size, percent, _frequent(docs, size)), "profiles")
-    nodes = whole.where("n > 0").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k")).alias("at"), F.first("n").alias("n"), F.first("profile").alias("profile"), F.first("prefix").alias("prefix"))
-    nodes = materialise(nodes.select("node", "at.doc_id", "at.k", "n", "profile", "prefix"), "nodes")
-
-    posts = nodes.select("node", "n", F.posexplode("prefix").alias("at", "token"))
-    shared = posts.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
+    whole = materialise(_profiles(docs, size, percent, _frequent(docs, size), _bitmap(docs, size)), "profiles")
+    nodes = whole.where("n > 0").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k")).alias("at"), F.first("n").alias("n"), F.first("profile").alias("profile"), F.count("*").alias("copies"))
+    nodes = materialise(nodes.select("node", "at.doc_id", "at.k", "n", "profile", "copies"), "nodes")
+
+    # Of exact copies one row speaks for all.
+    copied = small(nodes.where("copies > 1").select("node", F.col("doc_id").alias("_d"), F.col("k").alias("_k")), BROADCAST_ROWS)
+    alone = whole.where("n > 0").join(copied, "node", "left").where(F.col("_k").isNull() | (F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("k") == F.col("_k"))))
+    posts = alone.select("node", "n", F.posexplode("prefix").alias("at", "token"))
+    shared = materialise(posts.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token"), "shared")
     posts = materialise(posts.join(shared, "token"), "posts")
-    # Of near copies, the least edited shares most of its prefix.
-    central = posts.groupBy("node").agg((F.count("*") / F.first("n")).alias("share"))
-    posts = materialise(posts.join(central, "node"), "posts")
-    pivots = posts.groupBy("token").agg(F.max(F.struct("share", "node", "n", "at")).alias("p"))
-    pivots = pivots.select("token", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.at").alias("pat"))
-    star = posts.join(pivots, "token").where("node <> pivot").where(_possible(percent, "n", "pn", "at", "pat"))
-    star = star.groupBy("node", "pivot").agg(F.count("*").alias("c")).groupBy("node").agg(F.max(F.struct("c", "pivot")).alias("p"))
-    tested = star.select(F.least("node", "p.pivot").alias("a"), F.greatest("node", "p.pivot").alias("b")).distinct()
-    tested = materialise(_suffix_filter(tested, nodes, percent), "pairs")
-
-    wanted = nodes.join(posts.select("node").distinct(), "node", "left_semi")
-    sets = materialise(_fetch(docs, wanted, size), "sets")
-    edges = materialise(_verify(tested, sets, percent), "edges")
-    labels = components(edges)
+    drop(shared)
+    edges = tested = labels = None
+    for _ in range(2):
+        now = posts if labels is None else posts.join(labels, "node", "left")
+        now = now.withColumn("label", F.lit(None).cast("long") if labels is None else F.coalesce("label", "node"))
+        # Of near copies, the least edited shares most of its prefix, and then the one with most links is central.
+        central = posts.groupBy("node").agg((F.count("*") / (F.first("n") - F.ceil(F.first("n") * percent / 100) + 1)).alias("share"))
+        if edges is not None:
+            links = edges.select(F.col("a").alias("node")).unionAll(edges.select("b")).groupBy("node").agg(F.count("*").alias("links"))
+            central = central.join(links, "node", "left").withColumn("share", F.coalesce("links", F.lit(0)) + F.col("share") / 2)
+        pivots = now.join(central, "node").groupBy("token").agg(F.max(F.struct("share", "node", "n", "at", "label")).alias("p"))
+        pivots = pivots.select("token", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.at").alias("pat"), F.col("p.label").alias("plabel"))
+        star = now.join(pivots, "token").where("node <> pivot AND (label IS NULL OR label <> plabel)").where(_possible(percent, "n", "pn", "at", "pat"))
+        star = star.groupBy("node", "pivot").agg(F.count("*").alias("c")).groupBy("node").agg(F.max(F.struct("c", "pivot")).alias("p"))
+        pairs = star.select(F.least("node", "p.pivot").alias("a"), F.greatest("node", "p.pivot").alias("b")).distinct()
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = materialise(_suffix_filter(pairs, nodes, percent), "pairs")
+        texts = _texts(docs, nodes, pairs)
+        found = materialise(_verify(pairs, texts, size, percent), "edges")
+        drop(texts)
+        tested, edges = (pairs, found) if tested is None else (tested.unionByName(pairs), edges.unionByName(found))
+        labels = components(edges)
 
     named = posts.join(labels, "node", "left").select("token", "node", "n", "at", F.coalesce("label", "node").alias("label"))
     named = materialise(named, "named")
+    drop(posts, labels)
     shares = named.groupBy("token", "label").agg(F.count("*").alias("c"))
     major = shares.groupBy("token").agg(F.count("*").alias("labels"), F.max(F.struct("c", "label")).alias("m")).where("labels > 1").select("token", F.col("m.label").alias("major"))
+    major = materialise(major, "major")
     minor = named.join(major, "token").where("label <> major").select("token", "major", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "at", "label")))
     others = named.select("token", *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "at", "label")))
+    minor = materialise(minor, "minor")
     cross = minor.join(others, "token").where("label_a <> label_b AND (label_b = major OR node_a < node_b)")
     cross = cross.where(_possible(percent, "n_a", "n_b", "at_a", "at_b"))
     cross = cross.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
     cross = materialise(_suffix_filter(cross, nodes, percent).join(tested, ["a", "b"], "left_anti"), "pairs")
-    more = _verify(cross, sets, percent)
-    labels = components(edges.unionByName(more))
+    drop(named, major, minor)
+    texts = _texts(docs, nodes, cross)
+    more = materialise(edges.unionByName(_verify(cross, texts, size, percent)), "edges")
+    drop(texts, cross)
+    labels = components(more)
+    drop(more)
 
     classes = nodes.join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
     least = classes.groupBy("label").agg(F.min("doc_id").alias("component_id"))

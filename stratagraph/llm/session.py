@@ -29,21 +29,31 @@ def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     """Write to the shared folder and read back: cuts the lineage, survives lost executors.
 
     The folder's name is new for each call, so concurrent runs don't meet.
+    Shuffle files of steps that nothing refers to any more are let go: Spark
+    deletes them once the driver has collected its garbage.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    del df
+    spark.sparkContext._jvm.System.gc()
+    out = spark.read.schema(schema).parquet(path)
+    out._written = path
+    return out
 
 
-def drop_materialised(df: DataFrame) -> None:
-    """Delete what ``materialise`` wrote; call it when no plan reads the frame any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+def drop(*written: DataFrame) -> None:
+    """Delete what ``materialise`` wrote, once no plan that will still run reads it."""
+    for df in written:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._written)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` to be broadcast if it has at most ``rows`` rows, else unchanged (and then shuffled)."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def text_key(text: Column) -> Column:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from stratagraph.llm import fragments as G
 from stratagraph.llm import textnum as T
-from stratagraph.llm.session import keyed, materialise
+from stratagraph.llm.session import drop, keyed, materialise
 
 WINDOW = 100
 GRAM = 20
@@ -172,7 +172,9 @@ def earlier_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Da
     opened = opened.groupBy("doc_id", "k").agg(F.collect_list("span").alias("spans"))
     content = _content(G.with_spans(docs, opened, "inner"), window)
     content = content.repartition(int(parts), "h").sortWithinPartitions("doc_id", "start")
-    return copies.unionByName(materialise(_scan(content, window), "earlier"))
+    scanned = materialise(_scan(content, window), "earlier")
+    drop(branching)
+    return copies.unionByName(scanned)
 
 
 def remove_earlier(documents: DataFrame, window: int = WINDOW, gram: int = GRAM, want_text: bool = False) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from stratagraph.llm import textnum as T
-from stratagraph.llm.session import materialise
+from stratagraph.llm.session import drop, materialise
 
 SIZES = (4, 5, 6)
 TRAIN_ROWS = 12_000
@@ -176,6 +176,7 @@ def fit(documents: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -
                 yield pa.RecordBatch.from_arrays([batch.column("toxic").slice(a, b - a), pa.array(lists, pa.binary())], names=["toxic", "which"])
 
     found = train.select("toxic", "text").mapInArrow(run, "toxic int, which binary").toArrow()
+    drop(train)
     lists = [np.frombuffer(x, np.int32) for x in found["which"].to_pylist()]
     rows = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
     label = (found["toxic"].to_numpy() != 0).astype(np.float64)
