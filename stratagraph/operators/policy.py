@@ -131,7 +131,8 @@ def _allowed(file, package, allow: list[str]):
     """FIL-20: files, or packages with an optional ``/...``."""
     out = F.lit(False)
     for a in allow:
-        out |= (file == a) if a.endswith(".go") else E.flow_package(package, a) if isinstance(package, str) else (package == a)
+        hit = (file == a) if a.endswith(".go") else E.flow_package(package, a)
+        out |= F.coalesce(hit, F.lit(False))
     return out
 
 

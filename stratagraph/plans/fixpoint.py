@@ -21,18 +21,26 @@ def closure(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) ->
 
     ``seeds`` has (seed, id).  Depth is the fewest steps.  Cycles and repeated edges do no harm.
     """
-    steps = edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct().persist()
+    way = F.lit(0).alias("way")
+    return _closure(edges.select(way, "src", "dst"), seeds.select("seed", way, "id"), max_depth).drop("way")
+
+
+def _closure(edges: DataFrame, seeds: DataFrame, max_depth: int | None) -> DataFrame:
+    """The closure of several edge sets at once: ``way`` keeps them apart."""
+    steps = edges.where("src IS NOT NULL AND dst IS NOT NULL").distinct().persist()
+    key = ["seed", "way", "id"]
     try:
-        seen = cut(seeds.select("seed", "id").distinct().withColumn("depth", F.lit(0)))
-        delta = seen
+        seen = delta = cut(seeds.select(*key).distinct().withColumn("depth", F.lit(0)))
+        parts = 1
         for depth in range(1, (max_depth if max_depth is not None else ROUNDS) + 1):
-            found = delta.join(steps, delta["id"] == steps["src"]).select("seed", F.col("dst").alias("id")).distinct()
-            delta = cut(found.join(seen, ["seed", "id"], "left_anti").withColumn("depth", F.lit(depth)))
+            d = delta.select("seed", "way", F.col("id").alias("src"))
+            found = d.join(steps, ["way", "src"]).select("seed", "way", F.col("dst").alias("id")).distinct()
+            delta = cut(found.join(seen, key, "left_anti").withColumn("depth", F.lit(depth)))
             if delta.isEmpty():
                 break
-            seen = seen.unionByName(delta)
-            if depth % 8 == 0:
-                seen = cut(seen)
+            seen, parts = seen.unionByName(delta), parts + 1
+            if parts == 5:  # few files to read in each round
+                seen, parts = cut(seen), 1
         return seen
     finally:
         steps.unpersist()
@@ -41,11 +49,14 @@ def closure(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) ->
 def labelled(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(seed, id, depth, resolution): 'exact' if exact edges alone reach a node, else 'possible'.
 
-    ``edges`` has (src, dst, exact).  The depth is that of the better label.
+    ``edges`` has (src, dst, exact).  The depth is that of the better label.  Both
+    reachabilities share one loop.
     """
-    exact = closure(edges.where("exact"), seeds, max_depth).select("seed", "id", F.col("depth").alias("exact_depth"))
-    both = closure(edges, seeds, max_depth).join(exact, ["seed", "id"], "left")
-    return both.select("seed", "id", F.coalesce("exact_depth", "depth").alias("depth"), F.when(F.col("exact_depth").isNotNull(), "exact").otherwise("possible").alias("resolution"))
+    ways = lambda df, ways, *cols: df.withColumn("way", F.explode(ways)).select("way", *cols)
+    both = F.array(F.lit(0), F.lit(1))
+    steps = ways(edges, F.when(F.col("exact"), both).otherwise(F.array(F.lit(1))), "src", "dst")
+    found = _closure(steps, ways(seeds, both, "seed", "id"), max_depth)
+    return found.groupBy("seed", "id").agg(F.min_by("depth", "way").alias("depth"), F.when(F.min("way") == 0, "exact").otherwise("possible").alias("resolution"))
 
 
 def best_paths(edges: DataFrame, seeds: DataFrame, cost: list[Column], max_steps: int = 20) -> DataFrame:

@@ -100,16 +100,16 @@ def source_graph(files: DataFrame, import_prefix: str = "") -> tuple[CodeGraph,
 
 def go_mod(spark: SparkSession, root: str) -> DataFrame:
     """SRC-09, SRC-10: (dir, module, dependency, version) of every module file."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "go.mod").text(root).select(F.col("_metadata.file_path").alias("path"), "value")
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "go.mod").text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     body = F.regexp_replace("value", r"//[^\n]*", "")
     blocks = F.concat(F.array_join(F.regexp_extract_all(body, F.lit(r"(?s)require\s*\(([^)]*)\)"), F.lit(1)), "\n"), F.lit("\n"), F.array_join(F.regexp_extract_all(body, F.lit(r"(?m)^require\s+([^(\s]\S*\s+\S+)"), F.lit(1)), "\n"))
-    deps = F.filter(F.split(blocks, "\n"), lambda x: F.trim(x) != "")
-    return raw.select(F.regexp_replace("path", "/go.mod$", "").alias("dir"), F.regexp_extract("value", r"(?m)^module\s+(\S+)", 1).alias("module"), F.explode_outer(F.transform(deps, lambda x: F.split(F.trim(x), r"\s+"))).alias("d")).select("dir", "module", F.get("d", F.lit(0)).alias("dependency"), F.get("d", F.lit(1)).alias("version"))
+    deps = F.filter(F.split(blocks, "\n"), lambda x: x.rlike(r"\S"))
+    return raw.select(F.regexp_replace("path", "/go.mod$", "").alias("dir"), F.regexp_extract("value", r"(?m)^module\s+(\S+)", 1).alias("module"), F.explode_outer(F.transform(deps, lambda x: F.split(F.regexp_replace(x, r"^\s+", ""), r"\s+"))).alias("d")).select("dir", "module", F.get("d", F.lit(0)).alias("dependency"), F.get("d", F.lit(1)).alias("version"))
 
 
 def graph_document(spark: SparkSession, path: str) -> CodeGraph:
     """SRC-11: a graph from one JSON document with an array for each relation; unknown members are ignored."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     doc = {name: f"array<struct<{', '.join(_pairs(ddl))}>>" for name, ddl in RELATIONS.items()}
     whole = raw.select(F.from_json("value", ", ".join(f"{n} {d}" for n, d in doc.items())).alias("g"))
     return CodeGraph(spark, {name: whole.select(F.explode(f"g.{name}").alias("r")).select("r.*") for name in RELATIONS})
@@ -130,7 +130,7 @@ def coverage_profile(spark: SparkSession, path: str) -> DataFrame:
 
 def unified_diff(spark: SparkSession, path: str) -> DataFrame:
     """SRC-13: (file, line) that a diff without context adds or changes."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     parts = raw.select(F.explode(F.filter(F.split("value", r"(?m)^\+\+\+ "), lambda x: x.startswith("b/"))).alias("p"))
     hunks = parts.select(F.regexp_extract("p", r"^b/([^\n\t]+)", 1).alias("file"), F.explode(F.regexp_extract_all("p", F.lit(r"(?m)^@@ -\S+ \+(\d+(?:,\d+)?) @@"), F.lit(1))).alias("h"))
     start = F.element_at(F.split("h", ","), 1).cast("int")
