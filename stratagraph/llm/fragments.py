@@ -31,7 +31,7 @@ BASE_2 = 0x165667B19E3779F9 | 1
 #: 64-bit values of single bytes, for byte windows.
 _BYTE_VALUE = T.mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
 
-FRAGMENT = "doc_id long, k int, h long, c1 long, c2 int, start long, cnt int"
+FRAGMENT = "doc_id long, k long, h long, c1 long, c2 int, start long, cnt int"
 
 
 def units(unit: str, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -132,7 +132,7 @@ def _pack(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, pad: int) -> n
 
 def remove(docs: DataFrame, unit: str, want_text: bool = False, extra: tuple[str, ...] = ()) -> DataFrame:
     """Apply ``spans``: sizes, removed units, removed runs, digest of what is kept (and the kept text)."""
-    schema = "doc_id long, k int, n_units long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * want_text
+    schema = "doc_id long, k long, n_units long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * want_text
     schema += "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.select(*extra).schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

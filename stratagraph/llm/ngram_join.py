@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from stratagraph.llm import textnum as T
 from stratagraph.llm.components import components
-from stratagraph.llm.session import drop, keyed, materialise, small, text_key
+from stratagraph.llm.session import drop, keyed, materialise, small, with_key
 
 BASE = 0x27D4EB2F165667C5 | 1
 #: Entries of the broadcast table of frequent n-grams (16 bytes each).
@@ -146,7 +146,7 @@ def _profiles(docs: DataFrame, size: int, percent: int, frequent: tuple[np.ndarr
                     names=["doc_id", "k", "n", "node", "profile", "prefix"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, k int, n long, node long, profile array<tinyint>, prefix array<long>")
+    return docs.mapInArrow(run, "doc_id long, k long, n long, node long, profile array<tinyint>, prefix array<long>")
 
 
 def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -269,8 +269,8 @@ def keep_one(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFram
     classes = link_classes(documents, size, percent)
     first = classes.where("label IS NOT NULL").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k")).alias("at"))
     stays = first.select("at.doc_id", "at.k").unionByName(classes.where("label IS NULL").select("doc_id", "k").distinct())
-    stays = stays.select(F.col("doc_id").alias("_d"), F.xxhash64("doc_id", "k").alias("_key"))
-    docs = documents.withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), text_key(F.col("text"))))
-    found = docs.join(stays, "_key").where(F.col("doc_id").eqNullSafe(F.col("_d")))
+    stays = stays.select(F.col("doc_id").alias("_d"), F.col("k").alias("_k"), F.xxhash64("doc_id", "k").alias("_key"))
+    docs = with_key(documents, "_row").withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), "_row"))
+    found = docs.join(stays, "_key").where(F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_row") == F.col("_k")))
     # A row that repeats another row is a copy of it; the join has dealt both to the same task.
-    return found.dropDuplicates(["_key"]).select(*documents.columns)
+    return found.dropDuplicates(["_key", "_d", "_k"]).select(*documents.columns)

@@ -5,9 +5,12 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Repeated ids that may be broadcast.
+REPEATED_IDS = 500_000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
@@ -56,20 +59,35 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def text_key(text: Column) -> Column:
-    """16 bits of the text's hash; null counts as empty."""
-    return F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(1 << 16)).cast("int")
+def with_key(docs: DataFrame, name: str = "k") -> DataFrame:
+    """``docs`` with a column that tells rows of one id apart: the text's 64-bit hash, 0 where the id alone does.
+
+    Ids that are null or repeated need the hash; constants compress to
+    nothing.  The repeated ids are broadcast; beyond ``REPEATED_IDS`` of them
+    all rows carry the hash, so no text is shuffled for its key.
+    """
+    digest = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    ids = docs.select(F.col("doc_id").cast("long").alias("_again")).where("_again IS NOT NULL").groupBy("_again").agg(F.count("*").alias("_n"))
+    again = materialise(ids.where("_n > 1").select("_again"), "ids")
+    n = again.limit(REPEATED_IDS + 1).count()
+    if n > REPEATED_IDS:
+        return docs.withColumn(name, digest)
+    if not n:
+        return docs.withColumn(name, F.when(F.col("doc_id").cast("long").isNull(), digest).otherwise(F.lit(0).cast("long")))
+    found = docs.join(F.broadcast(again), F.col("doc_id").cast("long") == F.col("_again"), "left")
+    several = F.col("doc_id").cast("long").isNull() | F.col("_again").isNotNull()
+    return found.withColumn(name, F.when(several, digest).otherwise(F.lit(0).cast("long"))).select(*docs.columns, name)
 
 
 def keyed(docs: DataFrame, *extra: str) -> DataFrame:
-    """doc_id, k (16 bits of the text's hash, to tell rows of one id apart) and text, null text as empty.
+    """doc_id, k (tells rows of one id apart, see ``with_key``) and text, null text as empty.
 
     Only these columns are kept, so other columns of ``docs`` can't clash.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(
+    columns = dict.fromkeys(["doc_id", "text", *extra])
+    return with_key(docs.select(*columns), "_key").select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        text_key(text).alias("k"),
-        text.alias("text"),
+        F.col("_key").alias("k"),
+        F.coalesce(F.col("text"), F.lit("")).alias("text"),
         *extra,
     )

@@ -15,8 +15,9 @@ of one size class merge, so that a suffix takes part in a logarithmic number
 of merges.  A partition's memory is bounded by choosing the number of
 partitions from the number of windows.
 
-Order is (doc_id, start); a null id comes first.  Rows with equal ids and
-texts have the same coordinates, so neither is earlier than the other.  Null
+Order is (doc_id, start); a null id comes first.  Windows of rows with equal
+ids have the same coordinates if they start at the same place, so neither is
+earlier than the other.  Null
 texts are empty; other columns are ignored; an empty table gives an empty one.
 """
 
@@ -109,7 +110,7 @@ def _content(docs: DataFrame, window: int) -> DataFrame:
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("k").take(take), pa.array(h), pa.array(start), content], names=["doc_id", "k", "h", "start", "content"])
 
-    return docs.mapInArrow(run, "doc_id long, k int, h long, start long, content binary")
+    return docs.mapInArrow(run, "doc_id long, k long, h long, start long, content binary")
 
 
 def _scan(content: DataFrame, window: int) -> DataFrame:
@@ -118,7 +119,12 @@ def _scan(content: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family, held, waiting = IndexFamily(window), [], 0
 
-        def flush() -> pa.RecordBatch:
+        def flush(last: bool) -> tuple[pa.RecordBatch, list[pa.RecordBatch]]:
+            """Earlier windows, and the fragments that later ones may still overlap.
+
+            Texts that share an id overlap in coordinates, so only windows before
+            the last fragment are decided as long as others may come.
+            """
             batch = pa.Table.from_batches(held).combine_chunks()
             data, offsets = T.buffers(batch["content"])
             data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
@@ -128,13 +134,21 @@ def _scan(content: DataFrame, window: int) -> DataFrame:
             ids, start = batch["doc_id"], batch["start"].to_numpy()
             docs = np.where(np.asarray(ids.is_null()), np.iinfo(np.int64).min, ids.fill_null(0).to_numpy())
             at = start[row] + place
+            until = np.where(last | (docs != docs[-1]), count, np.clip(start[-1] - start, 0, count))
             pick = np.lexsort((at, docs[row]))  # corpus order of single windows
+            pick = pick[(place < until[row])[pick]]
             d, p = docs[row][pick], at[pick]
             rank = np.zeros(len(pick), np.int64)
             rank[1:] = np.cumsum((d[1:] != d[:-1]) | (p[1:] != p[:-1]))
-            gone = pick[np.flatnonzero(family.add(data, (offsets[row] + place)[pick], rank))]
+            gone = pick[np.flatnonzero(family.add(data, (offsets[row] + place)[pick], rank))] if len(pick) else pick
+            rest = np.flatnonzero(until < count)
+            keep = [batch.take(pa.array(rest)).combine_chunks().to_batches()[0]] if len(rest) else []
+            if keep:
+                cut = [data[offsets[i] + until[i] : offsets[i + 1]].tobytes() for i in rest.tolist()]
+                moved = {"start": pa.array(start[rest] + until[rest]), "content": pa.array(cut, pa.binary())}
+                keep = [pa.RecordBatch.from_arrays([moved.get(c, keep[0].column(c)) for c in keep[0].schema.names], schema=keep[0].schema)]
             take = pa.array(row[gone])
-            return pa.RecordBatch.from_arrays([ids.combine_chunks().take(take), batch["k"].combine_chunks().take(take), pa.array(at[gone]), pa.array(np.full(len(gone), window, np.int64))], names=["doc_id", "k", "start", "length"])
+            return pa.RecordBatch.from_arrays([ids.combine_chunks().take(take), batch["k"].combine_chunks().take(take), pa.array(at[gone]), pa.array(np.full(len(gone), window, np.int64))], names=["doc_id", "k", "start", "length"]), keep
 
         for batch in batches:
             data, offsets = T.buffers(batch.column("content"))
@@ -146,20 +160,20 @@ def _scan(content: DataFrame, window: int) -> DataFrame:
                 waiting += int(sizes[b] - sizes[a])
                 a = b
                 if waiting >= BATCH:
-                    yield flush()
-                    held.clear()
+                    out, held = flush(False)
                     waiting = 0
+                    yield out
         if held:
-            yield flush()
+            yield flush(True)[0]
 
-    return content.mapInArrow(run, "doc_id long, k int, start long, length long")
+    return content.mapInArrow(run, "doc_id long, k long, start long, length long")
 
 
 def earlier_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(doc_id, k, start, length): byte spans of ``keyed`` documents that also start earlier."""
     found = materialise(G.candidates(docs, "byte", window, gram), "fragments")
     same = ["h", "c1", "c2", "cnt"]
-    first = found.groupBy(*same).agg(F.min(F.struct("doc_id", "start", "k")).alias("source"), F.count("*").alias("n"))
+    first = found.groupBy(*same).agg(F.min(F.struct("doc_id", "start", "k")).alias("source"), F.count("*").alias("n"), (F.min("k") != F.max("k")).alias("mixed"))
     first = materialise(first, "first")
     copies = found.join(first.where("n > 1").select(*same, "source"), same)
     later = ~(F.col("doc_id").eqNullSafe(F.col("source.doc_id")) & (F.col("start") == F.col("source.start")))
@@ -169,6 +183,11 @@ def earlier_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Da
     total = branching.agg(F.sum("windows")).first()[0] or 0
     parts = max(docs.sparkSession.sparkContext.defaultParallelism, -(-total // PARTITION))
     opened = first.join(branching.select("h"), "h").select("source.doc_id", "source.k", F.struct("h", "source.start", "cnt").alias("span"))
+    mixed = first.where("mixed")
+    if not mixed.isEmpty():
+        # Texts of one id that have a fragment at the source's place are no copies: their windows are looked at like its own.
+        tied = found.join(mixed.join(branching.select("h"), "h").select(*same, "source"), same).where(~later & (F.col("k") != F.col("source.k")))
+        opened = opened.unionByName(tied.select("doc_id", "k", F.struct("h", "start", "cnt").alias("span")).distinct())
     opened = opened.groupBy("doc_id", "k").agg(F.collect_list("span").alias("spans"))
     content = _content(G.with_spans(docs, opened, "inner"), window)
     content = content.repartition(int(parts), "h").sortWithinPartitions("doc_id", "start")

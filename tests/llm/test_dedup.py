@@ -1,10 +1,12 @@
+import hashlib
 import random
 
 import brute
 import numpy as np
 import pytest
+from conftest import frame
 
-from stratagraph.llm import ngram_join, substring_dedup, suffix_dedup
+from stratagraph.llm import ngram_join, session, substring_dedup, suffix_dedup
 from stratagraph.llm.components import components
 
 
@@ -85,3 +87,66 @@ def test_components(spark):
     assert set(got) == {x for a, b in edges if a != b for x in (a, b)}
     assert len(set(got.values())) == len({root(x) for x in got})
     assert all(got[a] == got[b] for a, b in edges if a != b)
+
+
+@pytest.fixture(scope="module")
+def unnamed_rows():
+    """2,000 distinct texts without an id and 500 of one id; two passages are in many of them, at many places."""
+    rng = random.Random(11)
+    words = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    passages = [words(40), words(40)]
+    texts = []
+    for i in range(2500):
+        w, at = words(60), i % 50 + 1
+        texts.append(" ".join(w if i % 3 else w[:at] + passages[i % 2] + w[at:]))
+    return [(None if i < 2000 else 7, t) for i, t in enumerate(texts)]
+
+
+def earlier(rows, k=100):
+    """brute.op6 with the least (doc_id, start) of a window as its first, where rows share an id."""
+    place = lambda d, i: (d is not None, d or 0, i)
+    first, out = {}, []
+    rows = [(d, t.encode()) for d, t in rows]
+    for d, x in rows:
+        for i in range(len(x) - k + 1):
+            w = x[i : i + k]
+            first[w] = min(first.get(w, place(d, i)), place(d, i))
+    for d, x in rows:
+        gone = bytearray(len(x))
+        for i in range(len(x) - k + 1):
+            if first[x[i : i + k]] != place(d, i):
+                gone[i : i + k] = b"\1" * k
+        kept = bytes(b for b, g in zip(x, gone) if not g)
+        out.append((d, len(x), sum(gone), hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+def test_substring_unnamed(spark, unnamed_rows):
+    got = substring_dedup.remove_repeats(frame(spark, unnamed_rows)).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert key(got) == key(brute.op2(unnamed_rows))
+
+
+def test_suffix_unnamed(spark, unnamed_rows, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BATCH", 2000)
+    got = suffix_dedup.remove_earlier(frame(spark, unnamed_rows)).select("doc_id", "n_bytes", "n_removed", "kept_sha256").collect()
+    assert key(got) == key(earlier(unnamed_rows))
+
+
+def test_join_unnamed(spark, unnamed_rows):
+    pairs = [(d, f"{t} {i}") for i, (d, t) in enumerate(unnamed_rows)] + [(None, f"{t} edited") for _, t in unnamed_rows[:300]]
+    got = ngram_join.link_classes(frame(spark, pairs), 4, 85).select("doc_id", "n_shingles", "component_id", "label").collect()
+    want = brute.op3(pairs)
+    assert key(r[:3] for r in got) == key(want)
+    assert len({r["label"] for r in got}) == 2500
+
+
+def test_keep_one_unnamed(spark, unnamed_rows):
+    blanks = [(None, " " * n) for n in range(1, 40)]
+    kept = ngram_join.keep_one(frame(spark, [*unnamed_rows, *blanks]), 5, 80)
+    assert key(kept.select("doc_id", "text").collect()) == key([*unnamed_rows, *blanks])
+
+
+def test_keys_beyond_broadcast(spark, odd, odd_rows, monkeypatch):
+    monkeypatch.setattr(session, "REPEATED_IDS", 0)
+    got = substring_dedup.remove_repeats(odd).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert key(got) == key(brute.op2(odd_rows))
