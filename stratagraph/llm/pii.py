@@ -8,9 +8,7 @@ bounded sample of documents (``SAMPLE`` rows), and on generated variants
 that the patterns don't know (spelled or spaced separators, numbers with other
 marks), which are what it is there for.
 
-A text is read in windows of ``WINDOW`` characters that overlap by half,
-wherever it has a digit or an at-sign within ``REACH`` characters; every span the
-model is trained on has one, so other stretches can't hold a span.  Windows
+A whole text is read in windows of ``WINDOW`` characters that overlap by half.  Windows
 are decoded with Viterbi; a tag path is taken from the window in whose middle
 half a character lies, so each character is decided once, and spans are read
 from the document's whole tag sequence.  A model span is kept if it has the
@@ -35,7 +33,7 @@ from pyspark.sql import functions as F
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE = 400
 HIDDEN, EMBED, CLASSES = 12, 8, 48
-WINDOW, REACH = 64, 16
+WINDOW = 64
 TAGS = 1 + 2 * len(KINDS)
 SEED = 7
 STEPS, BATCH, RATE = 260, 64, 0.02
@@ -45,8 +43,9 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+#: What an e-mail has: an at-sign or the word, then a dot or the word.
+_MARKED = re.compile(r"(@|\bat\b).*(\.|\bdot\b)", re.S | re.I)
 _DIGIT = re.compile(r"[0-9]")
-_TRIGGER = re.compile(r"[0-9@]")
 
 
 def luhn(digits: str) -> bool:
@@ -143,7 +142,8 @@ class Tagger:
         out = np.empty((t_all, n, h), np.float32)
         hid, cell = np.zeros((n, h), np.float32), np.zeros((n, h), np.float32)
         for t in range(t_all) if d == "f" else range(t_all - 1, -1, -1):
-            z = inputs[x[t]] + hid @ p[f"u{d}"]
+            z = hid @ p[f"u{d}"]
+            z += inputs.take(x[t], 0, mode="clip")
             s = _sigmoid(z[:, : 3 * h])
             g = np.tanh(z[:, 3 * h :])
             before, old = cell, hid
@@ -162,15 +162,30 @@ class Tagger:
     def viterbi(self, x: np.ndarray) -> np.ndarray:
         """Best tags for (time, batch) classes."""
         e, trans = self.emissions(x), self.p["trans"]
+        # Where any step off O, with the best transitions to it and back, scores less than O, the best path is O throughout.
+        gain = e[:, :, 1:] - e[:, :, :1] + np.maximum(trans[:, 1:].max(0) - trans[0, 0], 0)
+        some = np.flatnonzero(gain.max((0, 2)) + max(0, float((trans[:, 0] - trans[0, 0]).max())) > -1e-3)
+        tags = np.zeros(x.shape, np.int8)
+        if len(some):
+            tags[:, some] = self._decode(e[:, some])
+        return tags
+
+    def _decode(self, e: np.ndarray) -> np.ndarray:
+        """Best tags for (time, batch) emissions."""
+        trans = self.p["trans"]
         score = e[0]
         back = np.empty(e.shape, np.int8)
         for t in range(1, len(e)):
-            both = score[:, :, None] + trans
-            back[t] = both.argmax(1)
-            score = both.max(1) + e[t]
-        tags = np.empty(x.shape, np.int8)
+            best, pick = score[:, :1] + trans[0], np.zeros(e.shape[1:], np.int8)
+            for k in range(1, TAGS):
+                other = score[:, k : k + 1] + trans[k]
+                np.copyto(pick, k, where=other > best)
+                np.maximum(best, other, out=best)
+            back[t] = pick
+            score = best + e[t]
+        tags = np.empty(e.shape[:2], np.int8)
         tags[-1] = score.argmax(1)
-        rows = np.arange(x.shape[1])
+        rows = np.arange(e.shape[1])
         for t in range(len(e) - 1, 0, -1):
             tags[t - 1] = back[t, rows, tags[t]]
         return tags
@@ -229,7 +244,7 @@ def _variants(rng: random.Random) -> tuple[str, int] | tuple[str, None]:
     pick = rng.random()
     if pick < 0.25:
         at, dot = rng.choice([(" [at] ", " [dot] "), (" (at) ", " (dot) "), ("[at]", "[dot]"), (" @ ", ".")])
-        return f"{word(3, 8)}{rng.choice(['.', '_', ''])}{num(2)}{at}{word(3, 8)}{dot}{rng.choice(['com', 'net', 'org'])}", 0
+        return f"{word(3, 8)}{rng.choice([num(2), f'.{num(2)}', f'_{num(2)}', f'.{word(3, 8)}', f'_{word(3, 8)}', ''])}{at}{word(3, 8)}{dot}{rng.choice(['com', 'net', 'org'])}", 0
     if pick < 0.4:
         return rng.choice(["[.]", " . ", "(.)"]).join(str(rng.randint(1, 254)) for _ in range(4)), 1
     if pick < 0.55:
@@ -237,7 +252,7 @@ def _variants(rng: random.Random) -> tuple[str, int] | tuple[str, None]:
         return sep.join(num(4) for _ in range(4)), 2
     if pick < 0.75:
         return rng.choice(["({0}) {1}-{2}", "{0}-{1}-{2}", "{0}.{1}.{2}", "00{3} {0} {1} {2}"]).format(num(3), num(3), num(4), num(2)), 3
-    return rng.choice([num(rng.randint(1, 6)), f"{num(4)}-{num(2)}-{num(2)}", f"{num(2)}:{num(2)}", f"{num(3)}.{num(2)}", f"{num(1)}.{num(1)}.{num(2)}", f"@{word(3, 8)}", f"{num(2)}%", f"{word(2, 6)}{num(3)}"]), None
+    return rng.choice([num(rng.randint(1, 6)), f"{num(4)}-{num(2)}-{num(2)}", f"{num(2)}:{num(2)}", f"{num(3)}.{num(2)}", f"{num(1)}.{num(1)}.{num(2)}", f"@{word(3, 8)}", f"{num(2)}%", f"{word(2, 6)}{num(3)}", f"{word(3, 8)} at {word(3, 8)}", f"{word(3, 8)} (at {word(3, 8)})", f"{word(3, 8)}. {word(3, 8)}"]), None
 
 
 def _mask(text: str) -> bytearray:
@@ -305,23 +320,16 @@ def train(texts: list[str], steps: int = STEPS, seed: int = SEED) -> dict[str, n
     return model.p
 
 
-def _window_starts(text: str) -> list[int]:
-    """Starts, multiples of half a window, of the windows near a digit or an at-sign."""
-    half, out, last = WINDOW // 2, [], -1
-    for m in _TRIGGER.finditer(text):
-        # The windows whose middle half comes within REACH of the character.
-        first = max(0, (m.start() - REACH + half // 2) // half - 1)
-        until = (m.start() + REACH + half // 2) // half
-        for s in range(max(first, last + 1), until + 1):
-            out.append(s * half - half // 2)
-        last = max(last, until)
-    return out
+def _window_starts(length: int) -> np.ndarray:
+    """Starts of the windows whose middle halves make up a text of ``length`` characters."""
+    half = WINDOW // 2
+    return np.arange(-(-length // half)) * half - half // 2
 
 
 def _plausible(kind: int, text: str) -> bool:
     digits = sum(c in "0123456789" for c in text)
     if kind == 0:
-        return ("@" in text or "at" in text.lower()) and any(c.isalpha() for c in text)
+        return bool(_MARKED.search(text)) and any(c.isalpha() for c in text)
     if kind == 1:
         parts = re.findall(r"[0-9]+", text)
         return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
@@ -333,23 +341,22 @@ def _plausible(kind: int, text: str) -> bool:
 def model_spans(texts: list[str], model: Tagger) -> list[list[tuple[int, int, int]]]:
     """Spans that the model reads in each text: windows decoded in batches, tags reconciled, spans read off."""
     half, quarter = WINDOW // 2, WINDOW // 4
-    places, rows = [], []
+    places, docs, rows = [], [], []
     for i, text in enumerate(texts):
-        starts = _window_starts(text)
-        if not starts:
+        at = _window_starts(len(text))
+        if not len(at):
             continue
         whole = np.zeros(len(text) + 2 * WINDOW, np.int8)
         whole[half : half + len(text)] = classes(text)
-        at = np.array(starts)
-        places += [(i, s) for s in starts]
+        places.append(at)
+        docs.append(np.full(len(at), i))
         rows.append(whole[at[:, None] + half + np.arange(WINDOW)])
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     if not rows:
         return out
-    tags = [model.viterbi(part.T)[quarter : quarter + half].T for part in np.array_split(np.concatenate(rows), -(-len(places) // 2048))]
+    where, doc, windows = np.concatenate(places) + quarter, np.concatenate(docs), np.concatenate(rows)
+    tags = [model.viterbi(part.T)[quarter : quarter + half].T for part in np.array_split(windows, -(-len(windows) // 2048))]
     middle = np.concatenate(tags)
-    where = np.array([s for _, s in places]) + quarter
-    doc = np.array([i for i, _ in places])
     r, c = np.nonzero(middle)
     place, tag = where[r] + c, middle[r, c]
     begin = np.ones(len(r), bool)

@@ -152,6 +152,22 @@ def test_pii(odd, odd_rows, none):
     assert found[1] == ([], []) and found[2] == ([], [])
 
 
+def test_pii_spelled_without_digits(spark):
+    """Spans without a digit or an at-sign, in texts without either, are found and redacted."""
+    model = pii.Tagger()
+    model.p = pii.fit(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    # Windows that are told to be O throughout are so in the full decoding too.
+    x = np.concatenate([pii.classes("a letter (at noon) for jane.doe [at] example [dot] com, 10.1.2.3" * 8)[i : i + 64] for i in range(300)]).reshape(300, 64).T
+    assert (model.viterbi(x) == model._decode(model.emissions(x))).all()
+    plain = "the old man said that it is late. " * 6
+    for span in ("jane.doe [at] example [dot] com", "name (at) site (dot) org"):
+        text = f"{plain}write to {span} {plain}"
+        ((base, found),) = pii.all_spans([text], model)
+        assert base == [] and [(k, text[a:b]) for a, k, b in found] == [(0, span)]
+        assert pii.redacted(text, found) == f"{plain}write to [EMAIL] {plain}"
+    assert pii.all_spans([plain], model) == [([], [])]
+
+
 def test_toxicity(spark):
     sf = "/root/testdata/sf0.01"
     d, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
