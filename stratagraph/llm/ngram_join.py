@@ -16,8 +16,10 @@
 4. All candidates between different components follow: per n-gram, nodes
    outside its largest component against all others.  So large groups of near
    copies cost no pairs within a component and no link can be missed.
-5. Pairs are made distinct, pass the suffix filter (distance bound over ranges
-   of the hash) and are verified once on the whole sets.
+5. The suffix filter bounds a pair's distance from below, first by parity
+   sketches inside the join (so that unlike members of a large group leave no
+   rows behind), then by sizes over ranges of the hash; what is left is made
+   distinct and verified once on the whole sets.
 
 Defined results: null or blank texts have an empty set, link with nothing and
 are their own component; rows that repeat an id are separate rows with the
@@ -42,11 +44,14 @@ BASE = 0x27D4EB2F165667C5 | 1
 #: Entries of the broadcast table of frequent n-grams (16 bytes each).
 FREQUENT = 1 << 16
 RANGES = 128
+#: 64-bit words of the parity sketch: bit i is the parity of the number of n-grams whose hash falls on i.
+SKETCH = 8
 #: Bits of the broadcast bitmap of repeated n-grams (16 MB), and the share of n-grams that is counted.
 BITS = 27
 COUNTED = 4
 #: Rows of ids that may be broadcast (24 bytes each); more are shuffled.
 BROADCAST_ROWS = 500_000
+_BITS = [f"s{i}" for i in range(SKETCH)]
 
 
 def _sets(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarray]:
@@ -120,6 +125,12 @@ def _repeats(x: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
     return (bitmap[bucket, at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
+def _sketch(x: np.ndarray) -> np.ndarray:
+    """Parity of the n-grams on each of ``64 * SKETCH`` places; two sets differ in at least as many n-grams as bits."""
+    odd = np.bincount((T.mix(x) >> np.uint64(16)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _profiles(docs: DataFrame, size: int, percent: int, frequent: tuple[np.ndarray, np.ndarray], bitmap: np.ndarray) -> DataFrame:
     """One row a document: set size, node, suffix-filter profile, prefix."""
     known = docs.sparkSession.sparkContext.broadcast((*frequent, bitmap))
@@ -128,11 +139,12 @@ def _profiles(docs: DataFrame, size: int, percent: int, frequent: tuple[np.ndarr
         hashes, counts, bitmap = known.value
         for batch in batches:
             for a, b, data, offsets in T.runs(batch.column("text")):
-                sizes, nodes, profile, prefix = [], [], [], []
+                sizes, nodes, profile, prefix, sketch = [], [], [], [], []
                 for x in _sets(data, offsets, size):
                     n = len(x)
                     sizes.append(n)
                     nodes.append(T.mix(T.mix(x ^ np.uint64(0x5851F42D4C957F2D)).sum(keepdims=True, dtype=np.uint64) + np.uint64(n))[0] if n else np.uint64(0))
+                    sketch.append(_sketch(x))
                     profile.append(np.diff(np.searchsorted(x, np.arange(1, RANGES, dtype=np.uint64) << np.uint64(57)), prepend=0, append=n).clip(max=127).astype(np.int8))
                     if n:
                         often = np.where(x % np.uint64(COUNTED) == 0, np.where(_repeats(x, bitmap), 2, 0), 1)
@@ -142,11 +154,11 @@ def _profiles(docs: DataFrame, size: int, percent: int, frequent: tuple[np.ndarr
                         x = x[np.argsort(often, kind="stable")]
                     prefix.append(x[: n - -(-percent * n // 100) + 1].view(np.int64) if n else x.view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, b - a), batch.column("k").slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(profile, pa.list_(pa.int8())), pa.array(prefix, pa.list_(pa.int64()))],
-                    names=["doc_id", "k", "n", "node", "profile", "prefix"],
+                    [batch.column("doc_id").slice(a, b - a), batch.column("k").slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(profile, pa.list_(pa.int8())), pa.array(prefix, pa.list_(pa.int64())), *(pa.array(c) for c in np.array(sketch).reshape(-1, SKETCH).T)],
+                    names=["doc_id", "k", "n", "node", "profile", "prefix", *_BITS],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, k long, n long, node long, profile array<tinyint>, prefix array<long>")
+    return docs.mapInArrow(run, "doc_id long, k long, n long, node long, profile array<tinyint>, prefix array<long>" + "".join(f", {c} long" for c in _BITS))
 
 
 def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -182,6 +194,12 @@ def _possible(percent: int, na: str, nb: str, pa_: str, pb: str):
     return length & ((100 + percent) * reach >= percent * (F.col(na) + F.col(nb)))
 
 
+def _near(percent: int, na: str, nb: str, a: str, b: str):
+    """Suffix filter on the sketches with suffixes a, b: |A| + |B| - 2 common <= (|A| + |B|) (100 - p) / (100 + p)."""
+    apart = sum((F.bit_count(F.col(c + a).bitwiseXOR(F.col(c + b))) for c in _BITS[1:]), F.bit_count(F.col(_BITS[0] + a).bitwiseXOR(F.col(_BITS[0] + b))))
+    return apart * (100 + percent) <= (F.col(na) + F.col(nb)) * (100 - percent)
+
+
 def _suffix_filter(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs whose sets may still be close enough: the sizes of their parts in ranges of the hash differ little."""
     a = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("profile").alias("fa"))
@@ -204,8 +222,8 @@ def link_classes(documents: DataFrame, size: int = 5, percent: int = 80) -> Data
     """
     docs = keyed(documents)
     whole = materialise(_profiles(docs, size, percent, _frequent(docs, size), _bitmap(docs, size)), "profiles")
-    nodes = whole.where("n > 0").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k")).alias("at"), F.first("n").alias("n"), F.first("profile").alias("profile"), F.count("*").alias("copies"))
-    nodes = materialise(nodes.select("node", "at.doc_id", "at.k", "n", "profile", "copies"), "nodes")
+    nodes = whole.where("n > 0").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k")).alias("at"), F.first("n").alias("n"), F.first("profile").alias("profile"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in _BITS))
+    nodes = materialise(nodes.select("node", "at.doc_id", "at.k", "n", "profile", "copies", *_BITS), "nodes")
 
     # Of exact copies one row speaks for all.
     copied = small(nodes.where("copies > 1").select("node", F.col("doc_id").alias("_d"), F.col("k").alias("_k")), BROADCAST_ROWS)
@@ -237,27 +255,30 @@ def link_classes(documents: DataFrame, size: int = 5, percent: int = 80) -> Data
         tested, edges = (pairs, found) if tested is None else (tested.unionByName(pairs), edges.unionByName(found))
         labels = components(edges)
 
-    named = posts.join(labels, "node", "left").select("token", "node", "n", "at", F.coalesce("label", "node").alias("label"))
+    named = posts.join(labels, "node", "left").join(nodes.select("node", *_BITS), "node").select("token", "node", "n", "at", *_BITS, F.coalesce("label", "node").alias("label"))
     named = materialise(named, "named")
     drop(posts, labels)
     shares = named.groupBy("token", "label").agg(F.count("*").alias("c"))
     major = shares.groupBy("token").agg(F.count("*").alias("labels"), F.max(F.struct("c", "label")).alias("m")).where("labels > 1").select("token", F.col("m.label").alias("major"))
     major = materialise(major, "major")
-    minor = named.join(major, "token").where("label <> major").select("token", "major", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "at", "label")))
-    others = named.select("token", *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "at", "label")))
+    minor = named.join(major, "token").where("label <> major").select("token", "major", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "at", "label", *_BITS)))
+    others = named.select("token", *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "at", "label", *_BITS)))
     minor = materialise(minor, "minor")
     cross = minor.join(others, "token").where("label_a <> label_b AND (label_b = major OR node_a < node_b)")
-    cross = cross.where(_possible(percent, "n_a", "n_b", "at_a", "at_b"))
-    cross = cross.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
-    cross = materialise(_suffix_filter(cross, nodes, percent).join(tested, ["a", "b"], "left_anti"), "pairs")
+    cross = cross.where(_possible(percent, "n_a", "n_b", "at_a", "at_b")).where(_near(percent, "n_a", "n_b", "_a", "_b"))
+    cross = materialise(cross.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct(), "cross")
     drop(named, major, minor)
+    close = materialise(_suffix_filter(cross, nodes, percent), "close")
+    drop(cross)
+    cross = materialise(close.join(tested, ["a", "b"], "left_anti"), "pairs")
+    drop(close)
     texts = _texts(docs, nodes, cross)
     more = materialise(edges.unionByName(_verify(cross, texts, size, percent)), "edges")
     drop(texts, cross)
     labels = components(more)
     drop(more)
 
-    classes = nodes.join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
+    classes = nodes.select("node", "doc_id").join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
     least = classes.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     classes = classes.join(least, "label").select("node", "component_id", "label")
     empty = whole.where("n = 0").select("doc_id", "k", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("label"))
