@@ -8,9 +8,9 @@ windows have the same minimizer at the same place, so
 * consecutive windows with one minimizer place form a *fragment* (about one
   for each ``(k - q) / 2`` units) that can be shuffled instead of them.
 
-Two occurrences of a fragment with the same content have all windows in
-common.  Only fragments that share a minimizer hash and differ in content
-need a look at single windows.
+Two occurrences of a fragment with the same content (by a 128-bit BLAKE2b
+digest of it) have all windows in common.  Only fragments that share a
+minimizer hash and differ in content need a look at single windows.
 """
 
 from __future__ import annotations
@@ -24,22 +24,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratagraph.llm import textnum as T
-from stratagraph.llm.session import materialise
+from stratagraph.llm.session import drop, materialise
 
-BASE_1 = 0xC2B2AE3D27D4EB4F | 1
-BASE_2 = 0x165667B19E3779F9 | 1
+BASE = 0xC2B2AE3D27D4EB4F | 1
+#: Another order of minimizers, for those that meet too many fragments.
+SECOND = 0x165667B19E3779F9 | 1
 #: 64-bit values of single bytes, for byte windows.
 _BYTE_VALUE = T.mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
 
-FRAGMENT = "doc_id long, k long, h long, c1 long, c2 int, start long, cnt int"
+FRAGMENT = "doc_id long, k long, h long, d1 long, d2 long, start long, cnt int"
 
 
-def units(unit: str, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit values of the units of a run of documents, and each document's first unit."""
-    if unit == "byte":
-        return _BYTE_VALUE[data], offsets
-    starts, ends, first = T.words(data, offsets)
-    return T.hash_spans(data, starts, ends), first
+class Units:
+    """The units (words or bytes) of a run of documents.
+
+    ``values`` are 64-bit hashes, ``first`` is each document's first unit, and
+    unit i is ``raw[place[i]:place[i + 1]]`` (a word with one space after it).
+    """
+
+    def __init__(self, unit: str, data: np.ndarray, offsets: np.ndarray):
+        if unit == "byte":
+            self.values, self.first, self.raw, self.place = _BYTE_VALUE[data], offsets, data, None
+            return
+        starts, ends, self.first = T.words(data, offsets)
+        self.values = T.hash_spans(data, starts, ends)
+        self.raw = _pack(data, starts, ends, 1)
+        self.place = np.concatenate([[0], np.cumsum(ends - starts + 1)])
+
+    def digests(self, starts: np.ndarray, stops: np.ndarray) -> tuple[pa.Array, pa.Array]:
+        """128-bit BLAKE2b digests of the content of spans of units, as two columns."""
+        a, b = (starts, stops) if self.place is None else (self.place[starts], self.place[stops])
+        view = memoryview(np.ascontiguousarray(self.raw))
+        made = b"".join([hashlib.blake2b(view[x:y], digest_size=16).digest() for x, y in zip(a.tolist(), b.tolist())])
+        both = np.frombuffer(made, np.int64).reshape(-1, 2)
+        return pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1]))
 
 
 def _window_starts(first: np.ndarray, k: int, n: int) -> np.ndarray:
@@ -51,13 +69,12 @@ def _window_starts(first: np.ndarray, k: int, n: int) -> np.ndarray:
     return np.flatnonzero(np.cumsum(change[:n]) > 0)
 
 
-def cut(values: np.ndarray, first: np.ndarray, k: int, q: int) -> tuple[np.ndarray, ...]:
-    """(document row, h, c1, c2, start in the document, windows) of each fragment."""
-    empty = tuple(np.zeros(0, np.int64) for _ in range(6))
+def cut(values: np.ndarray, first: np.ndarray, k: int, q: int, base: int = BASE) -> tuple[np.ndarray, ...]:
+    """(document row, h, first unit, windows) of each fragment."""
+    empty = (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
     if len(values) < k:
         return empty
-    rolling = T.Rolling(values, BASE_1)
-    grams = rolling.windows(q)
+    grams = T.Rolling(values, base).windows(q)
     least = T.sliding_min(grams, k - q + 1)
     at = _window_starts(first, k, len(values))
     if not len(at):
@@ -69,9 +86,7 @@ def cut(values: np.ndarray, first: np.ndarray, k: int, q: int) -> tuple[np.ndarr
     count = np.diff(np.append(begin, len(at)))
     start = at[begin]
     # Window starts of two documents are never neighbours, so a document's first window begins a fragment.
-    row = np.searchsorted(first, start, side="right") - 1
-    stop = start + count + k - 1
-    return row, least[start], rolling.spans(start, stop), T.Rolling(values, BASE_2).spans(start, stop), start - first[row], count
+    return np.searchsorted(first, start, side="right") - 1, least[start], start, count
 
 
 def fragments(docs: DataFrame, unit: str, k: int, q: int) -> DataFrame:
@@ -82,23 +97,39 @@ def fragments(docs: DataFrame, unit: str, k: int, q: int) -> DataFrame:
         for batch in batches:
             ids, keys = batch.column("doc_id"), batch.column("k")
             for a, _, data, offsets in T.runs(batch.column("text")):
-                row, h, c1, c2, start, count = cut(*units(unit, data, offsets), window, q)
+                u = Units(unit, data, offsets)
+                row, h, at, count = cut(u.values, u.first, window, q)
                 if len(row):
                     take = pa.array(row + a)
                     yield pa.RecordBatch.from_arrays(
-                        [ids.take(take), keys.take(take), pa.array(h.view(np.int64)), pa.array(c1.view(np.int64)), pa.array((c2 >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(start), pa.array(count.astype(np.int32))],
-                        names=["doc_id", "k", "h", "c1", "c2", "start", "cnt"],
+                        [ids.take(take), keys.take(take), pa.array(h.view(np.int64)), *u.digests(at, at + count + window - 1), pa.array(at - u.first[row]), pa.array(count.astype(np.int32))],
+                        names=["doc_id", "k", "h", "d1", "d2", "start", "cnt"],
                     )
 
     return docs.select("doc_id", "k", "text").mapInArrow(run, FRAGMENT)
 
 
+def _minimizers(docs: DataFrame, unit: str, k: int, q: int) -> DataFrame:
+    """(h, n): how often each minimizer hash is in a run of documents."""
+    window = k
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, offsets in T.runs(batch.column("text")):
+                u = Units(unit, data, offsets)
+                h, n = np.unique(cut(u.values, u.first, window, q)[1], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
+
+    return docs.select("text").mapInArrow(run, "h long, n long")
+
+
 def candidates(docs: DataFrame, unit: str, k: int, q: int) -> DataFrame:
-    """Fragments whose minimizer hash occurs more than once; nothing repeated is outside them."""
-    found = fragments(docs, unit, k, q)
+    """Fragments whose minimizer hash occurs more than once, written; nothing repeated is outside them."""
     # Written first, so that Spark can split a very frequent hash in the join.
-    repeated = materialise(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "repeated")
-    return found.join(repeated, "h")
+    repeated = materialise(_minimizers(docs, unit, k, q).groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), "repeated")
+    found = materialise(fragments(docs, unit, k, q).join(repeated, "h"), "fragments")
+    drop(repeated)
+    return found
 
 
 def spans_by_document(spans: DataFrame) -> DataFrame:
