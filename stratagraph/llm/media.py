@@ -1,9 +1,12 @@
 """PNG images in binary columns: write, read back with checks, perceptual hash.
 
-``to_png`` stores any bytes losslessly as 8-bit RGB samples, 64 pixels a row;
-``read_png`` parses chunks, tests every chunk's CRC-32 and zlib's Adler-32,
-and undoes the five scanline filters with numpy; ``cosine_hash`` keeps the
-signs of the low frequencies of a two-dimensional cosine transform.
+``to_pngs`` stores any bytes losslessly as 8-bit RGB samples, 64 pixels a row;
+each scanline gets the one of the five filters that leaves the smallest sum of
+absolute differences.  ``read_pngs`` parses chunks, tests every chunk's CRC-32
+and zlib's Adler-32, and undoes the filters with numpy: a pixel needs those to
+its left and above it, so the pixels on one diagonal, of all images of a batch,
+go in one step.  ``cosine_hash`` keeps the signs of the low frequencies of a
+two-dimensional cosine transform.
 
 Defined results: null and empty texts become one row of spaces; broken images
 raise ``ValueError`` (or give a null row with ``errors='null'``); other columns are ignored.
@@ -22,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratagraph.llm import textnum as T
+
 # Fixed values of the PNG format.
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 CHANNELS = {0: 1, 2: 3, 4: 2, 6: 4}
@@ -29,27 +34,14 @@ CHANNELS = {0: 1, 2: 3, 4: 2, 6: 4}
 WIDTH = 64
 ROW = WIDTH * 3
 SIDE, LOW = 32, 8
+#: Bytes of texts or images that are worked on together.
+PART = 2 << 20
 
 
 def _chunk(kind: bytes, body: bytes) -> bytes:
     return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(body, zlib.crc32(kind)))
 
 
-def filtered(rows: np.ndarray, bpp: int, kinds: np.ndarray) -> np.ndarray:
-    """Scanlines with their filter byte; ``kinds`` holds a filter type 0-4 for each row."""
-    left, up, corner = np.zeros_like(rows), np.zeros_like(rows), np.zeros_like(rows)
-    left[:, bpp:] = rows[:, :-bpp]
-    up[1:] = rows[:-1]
-    corner[1:, bpp:] = rows[:-1, :-bpp]
-    out = np.empty((len(rows), rows.shape[1] + 1), np.uint8)
-    out[:, 0] = kinds
-    predicted = [np.zeros_like(rows), left, up, ((left.astype(np.uint16) + up) >> 1).astype(np.uint8), _paeth(left, up, corner)]
-    for kind, p in enumerate(predicted):
-        at = kinds == kind
-        out[at, 1:] = rows[at] - p[at]
-    return out
-
-
 def _paeth(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
     x, y, z = a.astype(np.int16), b.astype(np.int16), c.astype(np.int16)
     p = x + y - z
@@ -57,62 +49,91 @@ def _paeth(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.where((da <= db) & (da <= dc), a, np.where(db <= dc, b, c))
 
 
-def unfiltered(lines: np.ndarray, bpp: int) -> np.ndarray:
-    """Undo the scanline filters; rows of one filter that follow each other go in one step where they can."""
-    kinds, body = lines[:, 0], lines[:, 1:]
+def _average(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return ((a.astype(np.uint16) + b) >> 1).astype(np.uint8)
+
+
+def filtered(rows: np.ndarray, bpp: int, first: np.ndarray, kinds: np.ndarray | None = None) -> np.ndarray:
+    """Scanlines of images one after the other (``first``: their first rows) with their filter byte.
+
+    ``kinds`` holds a filter type 0-4 for each row; without it the smallest sum of absolute differences decides.
+    """
+    left, up = np.zeros_like(rows), np.zeros_like(rows)
+    left[:, bpp:] = rows[:, :-bpp]
+    up[1:] = rows[:-1]
+    up[first] = 0
+    corner = np.zeros_like(rows)
+    corner[:, bpp:] = up[:, :-bpp]
+    out = np.empty((len(rows), rows.shape[1] + 1), np.uint8)
+    out[:, 0], out[:, 1:] = 0, rows
+    least = np.abs(rows.view(np.int8).astype(np.int16)).sum(1)
+    for kind, guess in ((1, left), (2, up), (3, _average(left, up)), (4, _paeth(left, up, corner))):
+        rest = rows - guess
+        size = np.abs(rest.view(np.int8).astype(np.int16)).sum(1)
+        at = size < least if kinds is None else kinds == kind
+        out[at, 0], out[at, 1:] = kind, rest[at]
+        least = np.where(at, size, least)
+    return out
+
+
+def unfiltered(lines: np.ndarray, bpp: int, first: np.ndarray) -> np.ndarray:
+    """Undo the filters of images of one width, one after the other; ``first`` are their first rows."""
+    kinds, n = lines[:, 0], len(lines)
     if kinds.max(initial=0) > 4:
         raise ValueError("unknown filter type")
+    width = (lines.shape[1] - 1) // bpp
+    body = lines[:, 1:].reshape(n, width, bpp)
     if not kinds.any():
         return np.ascontiguousarray(body)
-    out = np.empty_like(body)
-    width = body.shape[1]
-    edges = np.flatnonzero(np.diff(kinds)) + 1
-    for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(kinds)]):
-        kind, part = kinds[a], body[a:b]
-        above = out[a - 1] if a else np.zeros(width, np.uint8)
-        if kind == 0:
-            out[a:b] = part
-        elif kind == 1:
-            out[a:b] = np.cumsum(part.reshape(b - a, -1, bpp), axis=1, dtype=np.uint8).reshape(b - a, width)
-        elif kind == 2:
-            out[a:b] = np.cumsum(part, axis=0, dtype=np.uint8) + above
-        else:
-            for r in range(a, b):
-                above = out[r - 1] if r else np.zeros(width, np.uint8)
-                left, corner = np.zeros(bpp, np.uint8), np.zeros(bpp, np.uint8)
-                for x in range(0, width, bpp):
-                    up = above[x : x + bpp]
-                    guess = ((left.astype(np.uint16) + up) >> 1).astype(np.uint8) if kind == 3 else _paeth(left, up, corner)
-                    left = out[r, x : x + bpp] = body[r, x : x + bpp] + guess
-                    corner = up
+    line = np.arange(n) - np.repeat(first, np.diff(np.append(first, n)))
+    order = np.argsort(line, kind="stable")
+    at, kinds, body = line[order], kinds[order].reshape(-1, 1), body[order]
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    # Row n of the result and its column 0 stay zero: what is above the first line and left of the first pixel.
+    above = np.where(at > 0, place[order - 1], n)
+    out = np.zeros((n + 1, width + 1, bpp), np.uint8)
+    for d in range(width + int(at[-1])):
+        lo, hi = int(np.searchsorted(at, d - width + 1)), int(np.searchsorted(at, d, side="right"))
+        row = np.arange(lo, hi)
+        x, up, kind = d - at[lo:hi], above[lo:hi], kinds[lo:hi]
+        a, b, c = out[row, x], out[up, x + 1], out[up, x]
+        guess = np.where(kind == 4, _paeth(a, b, c), np.where(kind == 3, _average(a, b), np.where(kind == 2, b, np.where(kind == 1, a, np.uint8(0)))))
+        out[row, x + 1] = body[row, x] + guess
+    return np.ascontiguousarray(out[place, 1:])
+
+
+def to_pngs(payloads: list[bytes], kinds: np.ndarray | None = None, level: int = 1) -> list[bytes]:
+    """Each payload (a positive multiple of 192 bytes) as an RGB image of 64 pixels a row."""
+    sizes = np.array([len(x) // ROW for x in payloads], np.int64)
+    edge = np.concatenate([[0], np.cumsum(sizes)])
+    lines = filtered(np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, ROW), 3, edge[:-1], kinds)
+    out = []
+    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+        head = struct.pack(">IIBBBBB", WIDTH, b - a, 8, 2, 0, 0, 0)
+        out.append(SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(lines[a:b], level)) + _chunk(b"IEND", b""))
     return out
 
 
 def to_png(payload: bytes, kinds: np.ndarray | None = None, level: int = 1) -> bytes:
-    """``payload`` (a positive multiple of 192 bytes) as an RGB image of 64 pixels a row."""
-    rows = np.frombuffer(payload, np.uint8).reshape(-1, ROW)
-    if kinds is None:
-        lines = np.zeros((len(rows), ROW + 1), np.uint8)
-        lines[:, 1:] = rows
-    else:
-        lines = filtered(rows, 3, kinds)
-    head = struct.pack(">IIBBBBB", WIDTH, len(rows), 8, 2, 0, 0, 0)
-    return SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(lines, level)) + _chunk(b"IEND", b"")
+    return to_pngs([payload], kinds, level)[0]
 
 
-def read_png(media: bytes) -> np.ndarray:
-    """Samples as (rows, pixels, channels); every checksum is tested."""
+def scanlines(media: bytes) -> tuple[np.ndarray, int]:
+    """Filtered scanlines and bytes a pixel of an image; every checksum is tested."""
     if media[:8] != SIGNATURE:
         raise ValueError("not a PNG")
     at, head, data, ended = 8, None, [], False
     while at + 12 <= len(media):
         size, kind = struct.unpack_from(">I4s", media, at)
         body = media[at + 8 : at + 8 + size]
-        if len(body) < size or at + 12 + size > len(media):
+        if at + 12 + size > len(media):
             raise ValueError("truncated chunk")
         if struct.unpack_from(">I", media, at + 8 + size)[0] != zlib.crc32(body, zlib.crc32(kind)):
             raise ValueError(f"checksum of {kind!r}")
         if kind == b"IHDR":
+            if size != 13:
+                raise ValueError("size of the header")
             head = struct.unpack(">IIBBBBB", body)
         elif kind == b"IDAT":
             data.append(body)
@@ -125,7 +146,7 @@ def read_png(media: bytes) -> np.ndarray:
     if head is None or not ended:
         raise ValueError("incomplete image")
     width, height, depth, colour, packing, method, interlace = head
-    if depth != 8 or colour not in CHANNELS or packing or method or interlace:
+    if depth != 8 or colour not in CHANNELS or packing or method or interlace or not width or not height:
         raise ValueError("only plain images of 8-bit samples")
     try:
         raw = zlib.decompress(data[0] if len(data) == 1 else b"".join(data))
@@ -135,7 +156,34 @@ def read_png(media: bytes) -> np.ndarray:
     if len(raw) != height * (width * bpp + 1):
         raise ValueError("wrong size of image data")
     lines = np.frombuffer(raw, np.uint8).reshape(height, width * bpp + 1)
-    return unfiltered(lines, bpp).reshape(height, width, bpp)
+    if lines[:, 0].max() > 4:
+        raise ValueError("unknown filter type")
+    return lines, bpp
+
+
+def read_pngs(media: list[bytes], errors: str = "raise") -> list[np.ndarray | None]:
+    """Samples as (rows, pixels, channels) of each image; None for a broken one with ``errors='null'``."""
+    out: list[np.ndarray | None] = [None] * len(media)
+    alike: dict[tuple[int, int], list[tuple[int, np.ndarray]]] = {}
+    for i, image in enumerate(media):
+        try:
+            lines, bpp = scanlines(image or b"")
+        except ValueError:
+            if errors == "raise":
+                raise
+            continue
+        alike.setdefault((lines.shape[1], bpp), []).append((i, lines))
+    for (_, bpp), group in alike.items():
+        edge = np.concatenate([[0], np.cumsum([len(x) for _, x in group])])
+        samples = unfiltered(np.concatenate([x for _, x in group]), bpp, edge[:-1])
+        for (i, _), a, b in zip(group, edge[:-1].tolist(), edge[1:].tolist()):
+            out[i] = samples[a:b]
+    return out
+
+
+def read_png(media: bytes) -> np.ndarray:
+    """Samples as (rows, pixels, channels)."""
+    return read_pngs([media])[0]
 
 
 @lru_cache(maxsize=4096)
@@ -161,15 +209,21 @@ def pad_text(text: bytes) -> bytes:
     return text.ljust(size, b" ")
 
 
+def _parts(column: pa.Array) -> Iterator[tuple[int, int]]:
+    """Rows of about ``PART`` bytes that are worked on together."""
+    for a, b, _, _ in T.runs(column, PART):
+        yield from ((x, min(x + 512, b)) for x in range(a, b, 512))
+
+
 def encode_media(documents: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, media): each whole text as a PNG."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 512):
-                part = batch.slice(at, 512)
+            for at, end in _parts(batch.column("text")):
+                part = batch.slice(at, end - at)
                 texts = part.column("text").cast(pa.binary()).to_pylist()
-                media = [to_png(pad_text(t or b"")) for t in texts]
+                media = to_pngs([pad_text(t or b"") for t in texts])
                 sizes = [len(t or b"") for t in texts]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
@@ -179,12 +233,8 @@ def encode_media(documents: DataFrame) -> DataFrame:
 def media_features(media: DataFrame, errors: str = "raise") -> DataFrame:
     """(doc_id, n_bytes, media) -> sizes, digests and the hash of what is stored, read back."""
 
-    def one(image: bytes | None) -> tuple:
-        try:
-            samples = read_png(image or b"")
-        except ValueError:
-            if errors == "raise":
-                raise
+    def one(image: bytes | None, samples: np.ndarray | None) -> tuple:
+        if samples is None:
             return (None,) * 3 + (len(image or b""), hashlib.sha256(image or b"").hexdigest(), None)
         payload = samples.tobytes()
         return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(image), hashlib.sha256(image).hexdigest(), cosine_hash(samples)
@@ -194,9 +244,10 @@ def media_features(media: DataFrame, errors: str = "raise") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 512):
-                part = batch.slice(at, 512)
-                found = [one(x) for x in part.column("media").to_pylist()]
+            for at, end in _parts(batch.column("media")):
+                part = batch.slice(at, end - at)
+                images = part.column("media").to_pylist()
+                found = [one(x, s) for x, s in zip(images, read_pngs(images, errors))]
                 columns = [pa.array(c, k) for c, k in zip(zip(*found), kinds)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_bytes"), *columns], names=["doc_id", "n_bytes", *names])
 
