@@ -4,15 +4,18 @@ Base spans come from four patterns and their checks.  The model reads
 characters as 48 classes (letters, digits and marks folded), runs an LSTM in
 both directions and decodes tags O and B/I of each kind with a linear-chain
 CRF; everything is numpy.  It is trained on spans that the patterns find in a
-bounded sample of documents (``SAMPLE`` rows), and on generated variants
-that the patterns don't know (spelled or spaced separators, numbers with other
-marks), which are what it is there for.
-
-A whole text is read in windows of ``WINDOW`` characters that overlap by half.  Windows
-are decoded with Viterbi; a tag path is taken from the window in whose middle
-half a character lies, so each character is decided once, and spans are read
-from the document's whole tag sequence.  A model span is kept if it has the
-characters its kind needs and meets no base span.
+bounded sample of documents (``SAMPLE`` texts, ``BASE_WINDOWS`` windows), and on
+``VARIANTS`` generated windows with spans that the patterns don't know (spelled
+or spaced separators, numbers with other marks), which are what it is there for.
+
+A whole text is read in windows of ``SPAN`` characters that overlap by 32.
+Where two windows give emissions for a character, these are averaged, weighted
+by the distance from the window's edge.  The document's whole sequence of
+emissions is then decoded at once: one Viterbi path for each text.  Stretches
+on which no path away from O can pay (a bound on every interval's gain shows
+it) are O without being decoded, so the path is the best one of the whole text.
+A model span is kept if it has the characters its kind needs and meets no base
+span.
 
 Offsets are code points, ends exclusive.  Null texts are empty.  Equal texts
 have equal spans.  Other columns are ignored; an empty table gives an empty one.
@@ -32,11 +35,17 @@ from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE = 400
-HIDDEN, EMBED, CLASSES = 12, 8, 48
+HIDDEN, EMBED, CLASSES = 8, 8, 48
 WINDOW = 64
+#: Whole texts are read in windows of ``SPAN`` characters that begin every ``STRIDE`` characters.
+SPAN, STRIDE = 256, 224
 TAGS = 1 + 2 * len(KINDS)
 SEED = 7
 STEPS, BATCH, RATE = 260, 64, 0.02
+#: Training windows around base spans, at most, and around generated variants.
+BASE_WINDOWS, VARIANTS = 2400, 2400
+#: Characters whose emissions are held together; a longer text is held whole.
+TOGETHER = 1 << 18
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -155,24 +164,90 @@ class Tagger:
                 keep.append((t, s, g, before, tc, old))
         return out
 
+    def _read(self, x: np.ndarray, d: str, out: np.ndarray) -> None:
+        """``_run`` without anything kept: one row for each gate, in place, into ``out`` (time, hidden, batch).
+
+        tanh(v) is 2 sigmoid(2 v) - 1, so all gates take one exponential.
+        """
+        p, h, n = self.p, HIDDEN, x.shape[1]
+        double = np.repeat(np.float32([-1, -1, -1, -2]), h)
+        inputs = np.ascontiguousarray(((p["emb"] @ p[f"w{d}"] + p[f"c{d}"]) * double).T.astype(np.float32))
+        onward = np.ascontiguousarray((p[f"u{d}"] * double).T.astype(np.float32))
+        hid, cell, part = (np.zeros((h, n), np.float32) for _ in range(3))
+        z, step = np.empty((4 * h, n), np.float32), np.empty((4 * h, n), np.float32)
+        i, f, o, g = (z[k * h : (k + 1) * h] for k in range(4))
+        for t in range(len(x)) if d == "f" else range(len(x) - 1, -1, -1):
+            np.matmul(onward, hid, out=z)
+            np.take(inputs, x[t], axis=1, out=step, mode="clip")
+            z += step
+            np.exp(z, out=z)
+            z += 1
+            np.reciprocal(z, out=z)
+            g *= 2
+            g -= 1
+            g *= i
+            cell *= f
+            cell += g
+            np.multiply(cell, -2, out=part)
+            np.exp(part, out=part)
+            part += 1
+            np.divide(2, part, out=part)
+            part -= 1
+            hid = out[t]
+            np.multiply(part, o, out=hid)
+
     def emissions(self, x: np.ndarray) -> np.ndarray:
-        both = np.concatenate([self._run(x, "f"), self._run(x, "b")], axis=2)
-        return both @ self.p["out"] + self.p["bias"]
-
-    def viterbi(self, x: np.ndarray) -> np.ndarray:
-        """Best tags for (time, batch) classes."""
-        e, trans = self.emissions(x), self.p["trans"]
-        # Where any step off O, with the best transitions to it and back, scores less than O, the best path is O throughout.
-        gain = e[:, :, 1:] - e[:, :, :1] + np.maximum(trans[:, 1:].max(0) - trans[0, 0], 0)
-        some = np.flatnonzero(gain.max((0, 2)) + max(0, float((trans[:, 0] - trans[0, 0]).max())) > -1e-3)
-        tags = np.zeros(x.shape, np.int8)
-        if len(some):
-            tags[:, some] = self._decode(e[:, some])
+        """(time, batch, tag) for (time, batch) classes."""
+        both = np.empty((x.shape[0], 2 * HIDDEN, x.shape[1]), np.float32)
+        x = x.astype(np.intp)
+        with np.errstate(over="ignore"):
+            self._read(x, "f", both[:, :HIDDEN])
+            self._read(x, "b", both[:, HIDDEN:])
+        return np.matmul(self.p["out"].T.astype(np.float32), both).transpose(0, 2, 1) + self.p["bias"].astype(np.float32)
+
+    def viterbi(self, e: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Best tags of texts with emissions ``e`` (character, tag) one after the other; ``first``: where texts begin."""
+        tags = np.zeros(len(e), np.int8)
+        away = self.p["trans"].astype(np.float64) - self.p["trans"][0, 0]
+        # What an interval off O gains is at most its characters' gains, the steps within, and those into and out of it
+        # (one of which is missing at a text's edge).
+        into, out = float(away[0, 1:].max()), float(away[1:, 0].max())
+        total = np.cumsum((e[:, 1:].max(1) - e[:, 0]).astype(np.float64) + max(float(away[1:, 1:].max()), 0.0))
+        before = np.concatenate([[0.0], total[:-1]])
+        best = np.maximum.accumulate(total[::-1])[::-1] - np.minimum.accumulate(before) + max(into + out, into, out, 0.0)
+        place = np.flatnonzero(best > -1e-3)
+        if not len(place):
+            return tags
+        begins = np.zeros(len(e) + 1, bool)
+        begins[first] = begins[-1] = True
+        new = np.ones(len(place), bool)
+        new[1:] = (place[1:] != place[:-1] + 1) | begins[place[1:]]
+        start = place[new]
+        stop = start + np.diff(np.append(np.flatnonzero(new), len(place)))
+        # One character of O on each side, where the text goes on.
+        left, right = ~begins[start], ~begins[stop]
+        start, stop = start - left, stop + right
+        turn = np.where(right, 1, -1)  # stretches that end with their text are read backwards
+        whole = ~left & ~right
+        groups = [g for g in np.array_split(np.flatnonzero(~whole)[np.argsort((stop - start)[~whole], kind="stable")], -(-len(start) // 512)) if len(g)]
+        groups += [np.flatnonzero(whole & (stop - start == n)) for n in np.unique((stop - start)[whole])]
+        for g in groups:
+            size = stop[g] - start[g]
+            step = np.arange(size.max())[:, None]
+            at = np.where(turn[g] > 0, start[g], stop[g] - 1) + turn[g] * np.minimum(step, size - 1)
+            part = e[at]
+            part[0, (np.where(turn[g] > 0, left[g], right[g])), 1:] = -1e4
+            part[step >= size - (np.where(turn[g] > 0, right[g], left[g]))] = [0] + [-1e4] * (TAGS - 1)
+            for way, trans in ((1, self.p["trans"]), (-1, self.p["trans"].T)):
+                some = np.flatnonzero(turn[g] == way)
+                if len(some):
+                    path, inside = self._decode(part[:, some], trans), step < size[some]
+                    tags[at[:, some][inside]] = path[inside]
         return tags
 
-    def _decode(self, e: np.ndarray) -> np.ndarray:
+    @staticmethod
+    def _decode(e: np.ndarray, trans: np.ndarray) -> np.ndarray:
         """Best tags for (time, batch) emissions."""
-        trans = self.p["trans"]
         score = e[0]
         back = np.empty(e.shape, np.int8)
         for t in range(1, len(e)):
@@ -282,15 +357,17 @@ def training_windows(texts: list[str], seed: int = SEED) -> tuple[np.ndarray, np
         tags.append(y)
 
     plain = texts or ["the quick brown fox jumps over the lazy dog and runs on. " * 3]
+    known: list[tuple[str, list[tuple[int, int, int]], int]] = []
     for text in plain:
         found: list[tuple[int, int, int]] = []
         for a, k, b in base_spans(text):
             if not found or a >= found[-1][2]:
                 found.append((a, k, b))
-        for a, _, b in found[:8]:
-            add(text, found, (a + b) // 2)
+        known += [(text, found, (a + b) // 2) for a, _, b in found]
+    for text, found, middle in rng.sample(known, min(len(known), BASE_WINDOWS)):
+        add(text, found, middle)
     bare = [re.sub("\0+", " ", "".join("\0" if cut else c for c, cut in zip(t, _mask(t)))) for t in plain]
-    while len(rows) < 2400:
+    for _ in range(VARIANTS):
         text = rng.choice(bare)
         at = rng.randrange(len(text) + 1)
         left, right = text[max(0, at - 80) : at], text[at : at + 80]
@@ -321,9 +398,9 @@ def train(texts: list[str], steps: int = STEPS, seed: int = SEED) -> dict[str, n
 
 
 def _window_starts(length: int) -> np.ndarray:
-    """Starts of the windows whose middle halves make up a text of ``length`` characters."""
-    half = WINDOW // 2
-    return np.arange(-(-length // half)) * half - half // 2
+    """Starts of the windows that read a text of ``length`` characters; the first begins before it by half an overlap."""
+    half = (SPAN - STRIDE) // 2
+    return np.arange(-(-(length + half) // STRIDE) if length else 0) * STRIDE - half
 
 
 def _plausible(kind: int, text: str) -> bool:
@@ -338,35 +415,63 @@ def _plausible(kind: int, text: str) -> bool:
     return 9 <= digits <= 15
 
 
-def model_spans(texts: list[str], model: Tagger) -> list[list[tuple[int, int, int]]]:
-    """Spans that the model reads in each text: windows decoded in batches, tags reconciled, spans read off."""
-    half, quarter = WINDOW // 2, WINDOW // 4
+def emissions(texts: list[str], model: Tagger) -> tuple[np.ndarray, np.ndarray]:
+    """Emissions (character, tag) of texts one after the other, windows reconciled; where each text begins."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    first = np.cumsum(sizes) - sizes
     places, docs, rows = [], [], []
     for i, text in enumerate(texts):
         at = _window_starts(len(text))
-        if not len(at):
-            continue
-        whole = np.zeros(len(text) + 2 * WINDOW, np.int8)
-        whole[half : half + len(text)] = classes(text)
-        places.append(at)
-        docs.append(np.full(len(at), i))
-        rows.append(whole[at[:, None] + half + np.arange(WINDOW)])
-    out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+        if len(at):
+            whole = np.zeros(len(text) + 2 * SPAN, np.int8)
+            whole[SPAN : SPAN + len(text)] = classes(text)
+            places.append(at)
+            docs.append(np.full(len(at), i))
+            rows.append(whole[at[:, None] + SPAN + np.arange(SPAN)])
+    out = np.zeros((int(sizes.sum()), TAGS), np.float32)
     if not rows:
-        return out
-    where, doc, windows = np.concatenate(places) + quarter, np.concatenate(docs), np.concatenate(rows)
-    tags = [model.viterbi(part.T)[quarter : quarter + half].T for part in np.array_split(windows, -(-len(windows) // 2048))]
-    middle = np.concatenate(tags)
-    r, c = np.nonzero(middle)
-    place, tag = where[r] + c, middle[r, c]
-    begin = np.ones(len(r), bool)
-    begin[1:] = (doc[r][1:] != doc[r][:-1]) | (place[1:] != place[:-1] + 1) | (tag[1:] % 2 == 1) | ((tag[1:] - 1) // 2 != (tag[:-1] - 1) // 2)
-    first = np.flatnonzero(begin)
-    ends = np.append(first[1:], len(r)) - 1
-    for a, b in zip(first.tolist(), ends.tolist()):
-        i, start, end, kind = int(doc[r[a]]), int(place[a]), int(place[b]) + 1, int(tag[a] - 1) // 2
-        if tag[a] % 2 == 1 and start >= 0 and end <= len(texts[i]) and _plausible(kind, texts[i][start:end]):
-            out[i].append((start, kind, end))
+        return out, first
+    place, doc, windows = np.concatenate(places), np.concatenate(docs), np.concatenate(rows)
+    weight = np.minimum(np.arange(SPAN) + 1, SPAN - np.arange(SPAN)).astype(np.float32)[:, None]
+    share = np.zeros((len(out), 1), np.float32)
+    for a in range(0, len(windows), 1024):
+        e = model.emissions(np.ascontiguousarray(windows[a : a + 1024].T)).transpose(1, 0, 2) * weight
+        at = place[a : a + 1024, None] + np.arange(SPAN)
+        inside = (at >= 0) & (at < sizes[doc[a : a + 1024], None])
+        at += first[doc[a : a + 1024], None]
+        # The windows of one parity don't overlap, so plain indexing adds each once.
+        for turn in (0, 1):
+            pick = inside[turn::2]
+            out[at[turn::2][pick]] += e[turn::2][pick]
+            share[at[turn::2][pick]] += np.broadcast_to(weight, e[turn::2].shape[:2] + (1,))[pick]
+    out /= share
+    return out, first
+
+
+def model_spans(texts: list[str], model: Tagger) -> list[list[tuple[int, int, int]]]:
+    """Spans on the best tag path of each text."""
+    out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+    a = 0
+    while a < len(texts):
+        b, held = a, 0
+        while b < len(texts) and (b == a or held + len(texts[b]) <= TOGETHER):
+            held += len(texts[b])
+            b += 1
+        e, first = emissions(texts[a:b], model)
+        some = first < len(e)
+        tags = model.viterbi(e, first[some]) if len(e) else np.zeros(0, np.int8)
+        place = np.flatnonzero(tags)
+        tag = tags[place]
+        doc = np.searchsorted(first, place, side="right") - 1
+        begin = np.ones(len(place), bool)
+        begin[1:] = (doc[1:] != doc[:-1]) | (place[1:] != place[:-1] + 1) | (tag[1:] % 2 == 1) | ((tag[1:] - 1) // 2 != (tag[:-1] - 1) // 2)
+        heads = np.flatnonzero(begin)
+        for x, y in zip(heads.tolist(), (np.append(heads[1:], len(place)) - 1).tolist()):
+            i, kind = int(doc[x]), int(tag[x] - 1) // 2
+            start, end = int(place[x] - first[i]), int(place[y] - first[i]) + 1
+            if tag[x] % 2 == 1 and _plausible(kind, texts[a + i][start:end]):
+                out[a + i].append((start, kind, end))
+        a = b
     return out
 
 
@@ -381,10 +486,14 @@ def all_spans(texts: list[str], model: Tagger) -> list[tuple[list, list]]:
 
 
 def fit(documents: DataFrame, sample: int = SAMPLE) -> dict[str, np.ndarray]:
-    """Train on at most ``sample`` documents, those with the smallest text hash among texts with a digit."""
+    """Train on at most ``sample`` texts, those with the smallest hash among different texts with a digit or at-sign.
+
+    Hashes are chosen first, so that only the texts of the sample are sent to the driver.
+    """
     rows = documents.where(F.col("text").rlike("[0-9@]")).select("text", F.xxhash64("text").alias("h"))
-    texts = [r["text"] for r in rows.orderBy("h", "text").limit(sample).collect()]
-    return train(texts)
+    chosen = [r["h"] for r in rows.select("h").distinct().orderBy("h").limit(sample).collect()]
+    texts = rows.where(F.col("h").isin(chosen)).groupBy("h").agg(F.min("text").alias("text")).orderBy("h").collect() if chosen else []
+    return train([r["text"] for r in texts])
 
 
 def find(documents: DataFrame, weights: dict[str, np.ndarray], keep: list[str] | None = None, redact: bool = False) -> DataFrame:
