@@ -240,5 +240,6 @@ def pack(documents: DataFrame, path: str, capacity: int = CAPACITY, end: int = E
             columns = [batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(p["sequence"][at] + inner // each), pa.array(p["offset"][at] + inner % each * length)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    ranked = made.join(counts.select("task", "length", "before"), ["task", "length"]).withColumn("rank", F.col("rank") + F.col("before"))
+    # The counts grow with tasks and lengths, so they are shuffled, not broadcast.
+    ranked = made.join(counts.select("task", "length", "before").hint("shuffle_merge"), ["task", "length"]).withColumn("rank", F.col("rank") + F.col("before"))
     return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
