@@ -7,21 +7,25 @@ shingles.  With fewer than ``k`` shingles all these are exact.
 
 Defined results: null and blank texts have an empty sketch; a text shorter
 than a shingle has one shingle, all its words; two empty sketches have
-resemblance 1, an empty and another one 0.
+resemblance 1, an empty and another one 0.  Rows of one id follow each other
+by the hash of their texts, a null id comes before all others; a repeated row
+is followed by its copy, a single row by itself; other columns are ignored; an
+empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K = 128
 SHINGLE = 5
 BITS = 48
-#: Rows of a bucket in which a document meets its successor.
+#: Rows of a bucket in which a document meets its successor, and how many buckets there are at most.
 BUCKET = 4096
-#: First rows of buckets that may be broadcast (about 24 bytes each); more are shuffled.
-BROADCAST_ROWS = 200_000
+BUCKETS = 1 << 16
 
 
 def with_sketch(df: DataFrame, text: str, name: str, k: int = K, size: int = SHINGLE) -> DataFrame:
@@ -68,26 +72,48 @@ def merged(parts: DataFrame, key: str, sketch: str, k: int = K, fan_in: int = 25
     return rows.groupBy("key").agg(smallest.alias("s")).select(F.col("key").alias(key), F.col("s").alias(sketch))
 
 
+def _place() -> Column:
+    """What rows are ordered by: a null id first, then ids, then the tie."""
+    return F.struct(F.col("doc_id").isNotNull().alias("has"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("tie").alias("tie"))
+
+
+def _heads(docs: DataFrame) -> list[tuple[bool, int, int]]:
+    """The first row of each bucket, ascending; buckets come from a sample of the order, so any ids give even ones."""
+    ids = docs.select(_place().alias("place"))
+    buckets = min(BUCKETS, -(-ids.count() // BUCKET))
+    if not buckets:
+        return []
+    rows = ids.repartitionByRange(buckets, "place").groupBy(F.spark_partition_id()).agg(F.min("place").alias("place")).collect()
+    return sorted((r["place"]["has"], r["place"]["id"], r["place"]["tie"]) for r in rows)
+
+
 def with_successor(docs: DataFrame, columns: list[str]) -> DataFrame:
     """Each row of ``docs`` (doc_id, tie, ...) with struct ``next``: ``columns`` of the row after it, cyclically.
 
     Rows are ordered by (doc_id, tie), a null id first.  They meet in buckets,
-    ranges of ids of about ``BUCKET`` rows; each bucket also gets the first row of
-    the one after it, so rows are moved once and no task sees more than a bucket.
+    ranges of about ``BUCKET`` rows (more where ``BUCKETS`` are full, or rows are
+    equal); each bucket also gets the first row of the one after it, so rows are
+    moved once and no task sees more than a bucket.  The buckets' first rows, at
+    most ``BUCKETS`` of 24 bytes, are a constant in the plan.
     """
-    facts = docs.agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
-    low, high = facts["low"] or 0, facts["high"] or 0
-    width = max(1, -(-(high - low + 1) * BUCKET // max(1, facts["n"])))
-    docs = docs.withColumn("bucket", F.coalesce(F.floor((F.col("doc_id") - low) / width), F.lit(-1)).cast("long"))
-    firsts = docs.groupBy("bucket").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("has"), "doc_id", "tie")).alias("f"))
-    order = Window.orderBy("bucket")
-    before = F.coalesce(F.lag("bucket").over(order), F.max("bucket").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    firsts = firsts.select(before.alias("to"), F.col("f.doc_id").alias("_id"), F.col("f.tie").alias("_tie"))
-    if facts["n"] / BUCKET < BROADCAST_ROWS:
-        firsts = F.broadcast(firsts)
-    guests = docs.join(firsts, docs["doc_id"].eqNullSafe(firsts["_id"]) & (docs["tie"] == firsts["_tie"]))
-    guests = guests.select(*[c for c in docs.columns if c != "bucket"], F.col("to").alias("bucket"), F.lit(1).alias("guest"))
-    rows = docs.withColumn("guest", F.lit(0)).unionByName(guests)
+    heads = _heads(docs)
+    if not heads:
+        return docs.withColumn("next", F.struct(*columns))
+    width = int(len(heads) ** 0.5) + 1
+    row = lambda h: {"has": h[0], "id": h[1], "tie": h[2]}
+    kind = "struct<has:boolean,id:bigint,tie:bigint>"
+    groups = [heads[i : i + width] for i in range(0, len(heads), width)]
+    outer = F.from_json(F.lit(json.dumps([row(g[0]) for g in groups])), f"array<{kind}>")
+    inner = F.from_json(F.lit(json.dumps([[row(h) for h in g] for g in groups])), f"array<array<{kind}>>")
+    # How many heads of groups, and then how many in the group, come at or before the row.
+    group = F.size(F.filter(outer, lambda h: h <= F.col("_place")))
+    placed = docs.withColumn("_place", _place()).withColumn("_group", group).withColumn("_heads", F.element_at(inner, F.col("_group")))
+    placed = placed.withColumn("_rank", F.size(F.filter("_heads", lambda h: h <= F.col("_place"))))
+    bucket = (F.col("_group") - 1) * width + F.col("_rank") - 1
+    placed = placed.withColumn("bucket", bucket.cast("long")).withColumn("_first", F.element_at("_heads", F.col("_rank")) == F.col("_place"))
+    inside = ("_place", "_group", "_heads", "_rank", "_first")
+    guests = placed.where("_first").withColumn("bucket", F.pmod(F.col("bucket") - 1, F.lit(len(heads)).cast("long"))).drop(*inside).withColumn("guest", F.lit(1))
+    rows = placed.drop(*inside).withColumn("guest", F.lit(0)).unionByName(guests)
     w = Window.partitionBy("bucket").orderBy("guest", F.col("doc_id").asc_nulls_first(), "tie")
     return rows.withColumn("next", F.lead(F.struct(*columns)).over(w)).where("guest = 0").drop("guest", "bucket")
 

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from conftest import frame
 
 from stratagraph.llm import bpe, fingerprints, media, packing, pii, toxicity, url_rules
 
@@ -156,9 +157,13 @@ def test_pii_spelled_without_digits(spark):
     """Spans without a digit or an at-sign, in texts without either, are found and redacted."""
     model = pii.Tagger()
     model.p = pii.fit(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
-    # Windows that are told to be O throughout are so in the full decoding too.
-    x = np.concatenate([pii.classes("a letter (at noon) for jane.doe [at] example [dot] com, 10.1.2.3" * 8)[i : i + 64] for i in range(300)]).reshape(300, 64).T
-    assert (model.viterbi(x) == model._decode(model.emissions(x))).all()
+    # Leaving out stretches that can't pay changes nothing: each text has its best path.
+    texts = ["a letter (at noon) for jane.doe [at] example [dot] com, 10.1.2.3 " * n for n in (1, 8, 3)] + ["", "call (312) 555-0199", "x"]
+    e, first = pii.emissions(texts, model)
+    got = model.viterbi(e, first[first < len(e)])
+    for a, t in zip(first, texts):
+        if t:
+            assert (got[a : a + len(t)] == model._decode(e[a : a + len(t)][:, None], model.p["trans"])[:, 0]).all()
     plain = "the old man said that it is late. " * 6
     for span in ("jane.doe [at] example [dot] com", "name (at) site (dot) org"):
         text = f"{plain}write to {span} {plain}"
@@ -168,6 +173,65 @@ def test_pii_spelled_without_digits(spark):
     assert pii.all_spans([plain], model) == [([], [])]
 
 
+def test_viterbi_is_global():
+    """Random emissions and transitions, texts of every length: always the path that full decoding finds."""
+    rng = np.random.default_rng(3)
+    model = pii.Tagger()
+    for trial in range(60):
+        model.p["trans"] = rng.normal(0, 2, (pii.TAGS, pii.TAGS)).astype(np.float32)
+        sizes = rng.integers(1, 40, 20)
+        first = np.cumsum(sizes) - sizes
+        e = rng.normal(0, 3, (sizes.sum(), pii.TAGS)).astype(np.float32)
+        e[:, 0] += rng.choice([0, 4, 8, 14])
+        got = model.viterbi(e, first)
+        for a, n in zip(first, sizes):
+            assert (got[a : a + n] == model._decode(e[a : a + n][:, None], model.p["trans"])[:, 0]).all()
+
+
+def test_pii_held_out(spark):
+    """Spans of a generator run that training has not seen, in texts it has not seen: found, and look-alikes left alone."""
+    docs = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("text IS NOT NULL").orderBy("doc_id").collect()]
+    model = pii.Tagger()
+    model.p = pii.train(docs[::2])
+    rng = random.Random(99)
+    hits = total = false = others = 0
+    for _ in range(400):
+        span, kind = pii._variants(rng)
+        text = rng.choice(docs[1::2])
+        at = rng.randrange(len(text) + 1)
+        left, right = text[max(0, at - 150) : at], text[at : at + 150]
+        ((base, found),) = pii.all_spans([f"{left} {span} {right}"], model)
+        a = len(left) + 1
+        if kind is None:
+            others += 1
+            false += any(s not in base and s[0] < a + len(span) and a < s[2] for s in found)
+        elif kind != 2 or pii.luhn(re.sub("[^0-9]", "", span)):
+            total += 1
+            hits += (a, kind, a + len(span)) in found
+    assert hits >= 0.9 * total and false <= 0.05 * others
+
+
+def plain_base(text):
+    """The four patterns as the contract words them, by ``re`` alone."""
+    digits = lambda m: re.sub("[^0-9]", "", m)
+    luhn = lambda d: sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+    rules = [
+        (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(p) <= 255 for p in m.split("."))),
+        (r"[0-9]([\x20-]?[0-9])+", lambda m: 12 <= len(digits(m)) <= 19 and luhn(digits(m))),
+        (r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(digits(m)) <= 15),
+    ]
+    return sorted((m.start(), k, m.end()) for k, (p, good) in enumerate(rules) for m in re.finditer(p, text) if good(m.group()))
+
+
+def test_base_spans_of_all_kinds():
+    rng = random.Random(4)
+    pieces = ["+1 (988) 555-2485", "+44 20 7946 0958", "4337166598464399", "4337 1665 9846 4399", "1.2.3.4", "1.2.3.4.5", "256.1.1.1", "a@b.c", "12", "-", " ", ".", "+", "(", "0000000000000", "x", "\n", "é", "٣"]
+    for _ in range(4000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 14)))
+        assert pii.base_spans(text) == plain_base(text), text
+
+
 def test_toxicity(spark):
     sf = "/root/testdata/sf0.01"
     d, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
@@ -236,6 +300,19 @@ def test_fingerprints(docs, rows, none):
     assert fingerprints.neighbours(none).count() == 0
 
 
+def test_successor(spark, odd, odd_rows, monkeypatch):
+    """Buckets of seven rows and ids far apart: every row has the one after it, the last the first."""
+    monkeypatch.setattr(fingerprints, "BUCKET", 7)
+    far = [*odd_rows, (10**15, "far away"), (-(10**15), "before all"), *[(None, f"no id {i}") for i in range(40)]]
+    docs = frame(spark, far).selectExpr("doc_id", "coalesce(text, '') AS text", "xxhash64(coalesce(text, '')) AS tie")
+    rows = [(r["doc_id"], r["tie"], r["text"]) for r in docs.collect()]
+    got = collections.Counter((r["doc_id"], r["text"], r["next"]["text"]) for r in fingerprints.with_successor(docs, ["text"]).collect())
+    rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert got == collections.Counter((d, t, rows[(i + 1) % len(rows)][2]) for i, (d, _, t) in enumerate(rows))
+    one = frame(spark, [(1, "alone")]).selectExpr("doc_id", "text", "1L AS tie")
+    assert [r["next"]["text"] for r in fingerprints.with_successor(one, ["text"]).collect()] == ["alone"]
+
+
 def test_fingerprints_odd_and_merge(spark, odd, odd_rows):
     assert fingerprints.neighbours(odd).count() == len(odd_rows)
     d = fingerprints.with_sketch(odd.select("doc_id", "text", (odd["doc_id"] % 2).alias("g")).where("doc_id IS NOT NULL"), "text", "s", k=16)
