@@ -13,9 +13,16 @@ from pyspark.sql import functions as F
 
 # Results must agree on these lists.
 IGNORED_DIRS = (".git", "vendor", "testdata")
-STOP_WORDS = ("a", "an", "and", "are", "does", "find", "for", "from", "how", "in", "is", "of", "or", "the", "to", "what", "where", "with")
-COMMON_INTERFACE_METHODS = ("Close", "Error", "Len", "Less", "MarshalJSON", "Read", "ServeHTTP", "String", "Swap", "UnmarshalJSON", "Unwrap", "Write")
-SCHEMA_TAGS = ("db", "gorm", "sql", "bson", "table", "column")
+STOP_WORDS = ("a", "an", "and", "are", "does", "from", "how", "is", "of", "the", "to", "what", "where", "which", "why", "work", "working", "works")
+COMMON_INTERFACE_METHODS = (
+    "Error", "Unwrap", "Is", "As", "String", "GoString", "Format",
+    "MarshalJSON", "UnmarshalJSON", "MarshalText", "UnmarshalText",
+    "MarshalBinary", "UnmarshalBinary", "MarshalYAML", "UnmarshalYAML",
+    "Len", "Less", "Swap", "Read", "Write", "Close",
+    "ServeHTTP", "Scan", "Value", "LogValue",
+)
+#: Result kinds of a question's matches that aren't symbols.
+NOT_SYMBOLS = ("package", "file", "import", "call")
 
 
 def _bare(receiver: str = "receiver") -> Column:
@@ -107,15 +114,13 @@ def under_excluded(path: str, dirs: list[str]) -> Column:
 
 
 def match_package(package: str | Column, pattern: str) -> Column:
-    """Exact, ``prefix/**`` for a subtree, ``prefix/*`` for one level."""
+    """Exact, ``prefix/**`` for a subtree, ``prefix/*`` for one level; a bare ``*`` or ``**`` is only itself."""
     p = F.col(package) if isinstance(package, str) else package
-    if pattern in ("**", "*"):
-        return F.lit(True)
     if pattern.endswith("/**"):
         base = pattern[:-3]
-        return (p == base) | p.startswith(base + "/")
+        return (p == pattern) | (p == base) | p.startswith(base + "/")
     if pattern.endswith("/*"):
-        return p.rlike("^" + re.escape(pattern[:-1]) + "[^/]+$")
+        return (p == pattern) | p.rlike("^" + re.escape(pattern[:-1]) + "[^/]*$")
     return p == pattern
 
 
@@ -217,8 +222,8 @@ def json_name(tag: str | Column, field: str | Column) -> Column:
 
 
 def arg_count(signature: str | Column) -> Column:
-    """Arguments of ``func Name(a, b int) ...``: commas at the top level of the first list, plus one."""
-    inner = F.regexp_extract(F.regexp_replace(signature, r"^func\s*(\([^)]*\)\s*)?", ""), r"^[^(]*\(([^)]*)\)", 1)
+    """Parts between commas from the first parenthesis of a signature to the last one."""
+    inner = F.regexp_extract(signature, r"(?s)^[^(]*\((.*)\)", 1)
     return F.when(F.trim(inner) == "", 0).otherwise(F.size(F.split(inner, ",")))
 
 
@@ -246,21 +251,39 @@ def test_pattern(names: list[str], limit: int = 4096) -> list[str]:
 
 
 def explore_terms(question: str) -> list[str]:
-    return [t for t in re.split(r"[\s,;!?()\[\]{}\"'`]+", question.lower()) if t and t not in STOP_WORDS]
+    """The words of a question that aren't stop words; the whole question where nothing is left."""
+    words = [w for w in re.split(r"[\s,;!?()\[\]{}\"'`]+", question) if w and w.lower() not in STOP_WORDS]
+    return words or [question]
 
 
 def role() -> Column:
-    """What a symbol is for, by the first rule that holds."""
-    file, name, kind = F.lower("file"), F.lower("name"), F.col("kind")
+    """What a symbol is for, from columns of evidence (see ``aggs.evidence``), by the first rule that holds."""
+    callers, callees = F.col("prod_callers"), F.col("callees")
     return (
-        F.when(is_test_file("file"), "test")
-        .when((F.col("name") == "main") & (F.col("package_name") == "main"), "entry point")
-        .when(name.rlike("handler|controller") | file.rlike("handler|controller|/api/"), "handler")
-        .when(name.rlike("repo|store|dao") | file.rlike("repo|store|/db/"), "data access")
-        .when(name.rlike("^new"), "constructor")
-        .when(file.rlike("middleware"), "middleware")
-        .when(kind == "interface", "contract")
-        .when(kind == "struct", "type")
-        .when(file.rlike("service"), "service")
-        .otherwise("helper")
+        F.when((F.col("kind") == "struct") & ((F.col("methods") >= 10) | (F.col("fields") >= 15)), "large data model or potential god object")
+        .when((F.col("kind") == "struct") & (F.col("methods") == 0), "data transfer object (no methods)")
+        .when(F.col("kind") == "struct", "data model")
+        .when(F.col("kind") == "interface", "contract definition")
+        .when(F.col("handles"), "HTTP handler (entry point)")
+        .when((callers == 0) & (F.col("tests") == 0) & (F.col("kind") != "method"), "unused or entry point (no detected production callers)")
+        .when((callers >= 5) & (callees <= 2), "high-traffic leaf utility")
+        .when((callers >= 5) & (callees >= 5), "high-traffic orchestrator")
+        .when((callees >= 5) & (callers <= 2), "service orchestrator (coordinator)")
+        .when((F.col("sqls") > 0) | (F.col("sql_callees") > 0), "data access layer")
+        .when(callees == 0, "leaf function")
+        .otherwise("internal utility")
+    )
+
+
+def quick_role() -> Column:
+    """The coarse role, from the same evidence: entry surface, then data access, then traffic."""
+    callers, callees = F.col("prod_callers"), F.col("callees")
+    return (
+        F.when(F.col("handles"), "HTTP handler")
+        .when(F.col("sqls") > 0, "data access")
+        .when(callers == 0, "entry point")
+        .when((callers >= 5) & (callees >= 5), "orchestrator")
+        .when(callers >= 5, "utility")
+        .when(callees >= 5, "coordinator")
+        .otherwise("internal")
     )

@@ -402,13 +402,18 @@ class GoFile:
         if test and not re.match(r"^[tb]\.", raw):
             self.facts["test_edges"].append({"test_func": shown, "target": raw, "target_symbol_id": None, "resolution": "", **place, "column": self.t[j].column, "precise": False})
         if sid:
-            from stratagraph.operators.flow import SINK_CALLS
+            from stratagraph.operators.flow import DECODE_CALLS, SINK_CALLS, SOURCE_CALLS, sink_arguments
 
             refs = [self._refs(p, q) for p, q in args]
             self.facts["flow_facts"].append(self._flow(sid, name, "call", j, target=f"$call:{self.t[j].line}:{self.t[j].column}", callee=named, arguments=refs))
             sink = SINK_CALLS.get(named) or (SINK_CALLS.get(method) if head else None)
             if sink:
-                self.facts["flow_facts"].append(self._flow(sid, name, "sink", j, callee=named, sink_kind=sink, inputs=sorted({r for part in refs for r in part})))
+                self.facts["flow_facts"].append(self._flow(sid, name, "sink", j, callee=named, sink_kind=sink, inputs=sorted({r for k in sink_arguments(named if named in SINK_CALLS else method, len(refs)) for r in refs[k]})))
+            if named in DECODE_CALLS and DECODE_CALLS[named] < len(refs):
+                for ref in refs[DECODE_CALLS[named]]:
+                    self.facts["flow_facts"].append(self._flow(sid, name, "source", j, target=ref, source_kind="decoded_json"))
+            if named not in ENV_ACCESSORS and SOURCE_CALLS.get(named) == "environment":
+                self.facts["flow_facts"].append(self._flow(sid, name, "source", j, target=f"$call:{self.t[j].line}:{self.t[j].column}", source_kind="environment"))
 
 
 def parse(path: str, source: str, import_path: str = "") -> dict[str, list[dict]]:

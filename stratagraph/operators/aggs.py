@@ -113,11 +113,45 @@ def untested(g: CodeGraph, exclude: list[str] | None = None, interface_methods:
 
 
 def interface_method_ids(g: CodeGraph) -> DataFrame:
-    """AGG-10: methods that implement an interface method, or have one of the usual names."""
-    names = g.symbols.where("kind = 'interface'").select(F.explode(F.map_keys("interface_methods")).alias("m")).distinct()
-    m = g.symbols.where("kind = 'method'")
-    named = m.join(names, m["name"] == names["m"], "left_semi").select("id")
-    return named.unionByName(m.where(F.col("name").isin(*E.COMMON_INTERFACE_METHODS)).select("id")).distinct()
+    """AGG-10: methods of an interface that their receiver implements, or with one of the usual names."""
+    required = g.symbols.where("kind = 'interface'").select(F.col("id").alias("interface_id"), F.explode(F.map_keys("interface_methods")).alias("name"))
+    promised = g.implements.select("interface_id", F.col("concrete_id").alias("type_id")).distinct().join(required, "interface_id").select("type_id", "name").distinct()
+    receiver = F.substring_index(F.regexp_replace("receiver", r"^[(*)]+|[(*)]+$", ""), "[", 1)
+    m = g.symbols.where("kind = 'method' AND receiver <> ''").select("id", "name", F.concat(F.substring_index("id", "::", 1), F.lit("::"), receiver).alias("type_id"))
+    return m.join(promised, ["type_id", "name"], "left_semi").select("id").unionByName(m.where(F.col("name").isin(*E.COMMON_INTERFACE_METHODS)).select("id")).distinct()
+
+
+def evidence(g: CodeGraph, ids: DataFrame) -> DataFrame:
+    """What a role is told from, one row for each of ``ids`` (id): traffic, size, data access, entry surface.
+
+    Production callers and callees are call sites; ``handles`` says that a route names the symbol.
+    """
+    s = g.symbols.join(ids.select("id").distinct(), "id", "left_semi")
+    s = s.select("id", "kind", "name", "receiver", "package_name", F.coalesce(F.size("struct_fields"), F.lit(0)).alias("fields")).dropDuplicates(["id"])
+    own = s.select("id")
+    c = sites(g.calls)
+    count = lambda df, key, name: df.select(F.col(key).alias("id")).join(own, "id", "left_semi").groupBy("id").agg(F.count("*").alias(name))
+    runs = g.sqls.select(F.col("function").alias("id")).unionByName(g.sqls.join(g.symbols.select("id", E.display_name().alias("_shown")), F.col("function") == F.col("_shown")).where("function <> id").select("id"))
+    below = c.select(F.col("caller_symbol_id").alias("id"), F.col("callee_symbol_id").alias("_to")).distinct().join(runs.select(F.col("id").alias("_to")).distinct(), "_to", "left_semi")
+    owner = F.regexp_replace("receiver", r"^[(*)]+|[(*)]+$", "")
+    methods = g.symbols.where("kind = 'method'").groupBy("package_name", owner.alias("name")).agg(F.count("*").alias("methods"))
+    named = g.routes.select(E.short_name("handler").alias("_h")).unionByName(g.routes.select(F.lower("handler").alias("_h"))).where("_h <> ''").distinct()
+    out = s.join(methods, ["package_name", "name"], "left")
+    for part in (
+        count(c.where(~E.is_test_file("file")), "callee_symbol_id", "prod_callers"), count(c, "caller_symbol_id", "callees"), count(runs, "id", "sqls"), count(below, "id", "sql_callees"),
+        count(g.test_edges.select("target_symbol_id", "test_func").distinct(), "target_symbol_id", "tests"),
+    ):
+        out = out.join(part, "id", "left")
+    handled = s.join(named, (F.lower("name") == F.col("_h")), "left_semi").select("id").unionByName(s.join(named, F.lower("id") == F.col("_h"), "left_semi").select("id")).distinct()
+    out = out.join(handled.withColumn("handles", F.lit(True)), "id", "left")
+    return out.na.fill(0, ["methods", "prod_callers", "callees", "sqls", "sql_callees", "tests"]).na.fill(False, ["handles"])
+
+
+def complexity(facts: DataFrame, name: str = "") -> DataFrame:
+    """AGG-07: (id, name, file, line, complexity, label) of functions, most complex first; a score that isn't known is labelled so."""
+    label = F.when(F.col("complexity").isNull() | (F.col("complexity") < 1), "UNKNOWN").when(F.col("complexity") <= 5, "LOW").when(F.col("complexity") <= 10, "MEDIUM").when(F.col("complexity") <= 20, "HIGH").otherwise("VERY HIGH")
+    hit = facts if not name else facts.where((F.lower("name") == name.lower()) | (F.col("id") == name) | (E.short_name("name") == name.lower()))
+    return hit.withColumn("label", label).orderBy(F.desc_nulls_last("complexity"), "name", "file", "line")
 
 
 def statements_in_range(symbols: DataFrame, blocks: DataFrame, bucket: int = 64) -> DataFrame:

@@ -192,16 +192,21 @@ def fixtures(g: CodeGraph) -> DataFrame:
 
 
 def schema(g: CodeGraph, table: str) -> DataFrame:
-    """PRJ-17: the first field of each struct whose tag names the table."""
+    """PRJ-17: the first field of each struct whose tag has the table's name between marks."""
     t = table.lower()
-    hit = F.filter("struct_fields", lambda f: reduce(lambda a, b: a | b, [F.contains(F.lower(f["tag"]), F.lit(f'{k}:"{t}')) for k in E.SCHEMA_TAGS]))
+    spelled = (f'"{t}"', f"'{t}'", f':{t}"', f":{t}'", f'"{t},', f"'{t},")
+    hit = F.filter("struct_fields", lambda f: reduce(lambda a, b: a | b, [F.contains(F.lower(f["tag"]), F.lit(x)) for x in spelled]))
     return g.symbols.where(F.col("kind") == "struct").withColumn("hit", F.element_at(F.nullif(hit, F.array().cast(g.symbols.schema["struct_fields"].dataType)), 1)).where("hit IS NOT NULL").select("id", "name", "file", "line", "hit.name", "hit.tag").toDF("id", "struct", "file", "line", "field", "tag")
 
 
 def constructors(g: CodeGraph, type_name: str) -> DataFrame:
-    """PRJ-18: functions that return the type."""
-    result = F.regexp_extract("signature", r"^.*?\)\s(.*)$", 1)
-    return g.symbols.where((F.col("kind") == "function") & result.rlike(rf"(?i)(?<![A-Za-z0-9_]){_quoted(type_name)}(?![A-Za-z0-9_])"))
+    """PRJ-18: functions and methods with the type after the last ``) `` of their signature; ``package.Type`` also bare in its package."""
+    result = F.regexp_extract("signature", r"(?s)^.*(\) .*)$", 1)
+    hit = result.rlike(rf"[* .]{_quoted(type_name)}([,) ]|$)")
+    if type_name.count(".") == 1:
+        package, bare = type_name.split(".")
+        hit |= (F.lower("package_name") == package.lower()) & result.rlike(rf"[* ]{_quoted(bare)}([,) ]|$)")
+    return g.symbols.where(F.col("kind").isin("function", "method") & hit)
 
 
 def _quoted(text: str) -> str:

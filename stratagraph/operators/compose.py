@@ -20,7 +20,8 @@ EXPLORE_LIMITS = {"compact": 5, "standard": 10, "deep": 25}
 
 def context(g: CodeGraph, q: str, n: int = 20) -> DataFrame:
     """CMP-01: the symbol, its role, callers, callees and tests as one row for each match."""
-    s = g.symbols.where(E.match_symbol(q)).select("id", "name", "kind", "file", "line", "signature", E.role().alias("role"))
+    s = g.symbols.where(E.match_symbol(q)).select("id", "name", "kind", "file", "line", "signature")
+    s = s.join(aggs.evidence(g, s).select("id", E.quick_role().alias("role")), "id", "left")
     c = joins.sites(g.calls)
     first = lambda df, key, item, name: df.groupBy(F.col(key).alias("id")).agg(F.slice(F.array_sort(F.collect_set(item)), 1, n).alias(name))
     ids = s.select("id")
@@ -35,11 +36,12 @@ def context(g: CodeGraph, q: str, n: int = 20) -> DataFrame:
     return out
 
 
-def explore_rank(rows: DataFrame, terms: list[str]) -> DataFrame:
-    """WIN-05: result rows ranked for a question."""
-    q = " ".join(terms)
+def explore_rank(rows: DataFrame, question: str, terms: list[str]) -> DataFrame:
+    """WIN-05: result rows ranked for a question; what they scored before counts too."""
+    q, terms = question.lower(), [t.lower() for t in terms]
     name, file, detail = F.lower("name"), F.lower(F.coalesce("file", F.lit(""))), F.lower(F.coalesce("detail", F.lit("")))
-    score = F.when(name == q, 1000).otherwise(0) + F.when(F.col("kind").isin("function", "method", "struct", "interface"), 100).otherwise(0)
+    # The weights of each kind of match.
+    score = F.col("score") + F.when(name == q, 1000).otherwise(0) + F.when(F.col("kind").isin(*E.NOT_SYMBOLS), 0).otherwise(100)
     for t in terms:
         score += F.when(name == t, 100).when(F.contains(name, F.lit(t)), 30).otherwise(0) + F.when(F.contains(file, F.lit(t)), 10).otherwise(0) + F.when(F.contains(detail, F.lit(t)), 5).otherwise(0)
     return rows.withColumn("score", score.cast("int")).orderBy(F.desc("score"), "name", "kind", "file", "line")
@@ -49,7 +51,7 @@ def explore(g: CodeGraph, question: str, mode: str = "standard", limit: int | No
     """CMP-02: ranked matches, and the neighbourhood of the best one in bounded sections."""
     n = min(100, limit or EXPLORE_LIMITS[mode])
     terms = E.explore_terms(question)
-    matches = explore_rank(census.query(g, terms), terms).limit(n)
+    matches = explore_rank(census.query(g, terms), question, terms).limit(n)
     best = matches.where(F.col("kind").isin("function", "method")).limit(1).select(F.lit("").alias("seed"), F.col("stable_id").alias("id"))
     up = traverse.exact_neighbours(g, best, True).orderBy("depth", "id").limit(n)
     down = traverse.exact_neighbours(g, best, False).orderBy("depth", "id").limit(n)
@@ -58,7 +60,8 @@ def explore(g: CodeGraph, question: str, mode: str = "standard", limit: int | No
 
 def explain(g: CodeGraph, symbol_id: str) -> DataFrame:
     """CMP-03: one sentence from the evidence counts."""
-    c = aggs.explain_counts(g, symbol_id).join(g.symbols.where(F.col("id") == symbol_id).select("id", E.role().alias("role"), "name").limit(1), "id", "left")
+    own = g.symbols.where(F.col("id") == symbol_id).select("id")
+    c = aggs.explain_counts(g, symbol_id).join(aggs.evidence(g, own).select("id", E.role().alias("role"), "name"), "id", "left")
     return c.select("id", F.format_string("%s is a %s with %d callers and %d callees; %d tests name it directly; it runs %d SQL statements and reads %d environment keys.", F.coalesce("name", "id"), F.coalesce("role", F.lit("symbol")), "callers", "callees", "tests", "sqls", "envs").alias("narrative"))
 
 
@@ -95,11 +98,12 @@ def review_changes(old: CodeGraph, new: CodeGraph) -> DataFrame:
 
 
 def risk(g: CodeGraph, start: DataFrame, complexity: DataFrame | None = None) -> DataFrame:
-    """CMP-07: a score up to 100 from callers, complexity, tests, exposure, SQL and environment; unknown complexity is 0 points."""
+    """CMP-07: a score up to 100 from transitive callers, complexity, tests, exposure, SQL and environment; unknown complexity is 0 points."""
     p = plan(g, start)
     p = p.join(complexity.select("id", "complexity"), "id", "left") if complexity is not None else p.withColumn("complexity", F.lit(-1))
     cx = F.greatest(F.lit(0), F.least(F.lit(25), 2 * (F.coalesce("complexity", F.lit(-1)) - 1)))
-    score = F.least(F.lit(30), 3 * F.col("callers")) + cx + F.when(F.col("tests") == 0, 20).when(F.col("tests") == 1, 10).otherwise(0)
+    # The points of each part and their bounds.
+    score = F.least(F.lit(30), 3 * F.col("impact")) + cx + F.when(F.col("tests") == 0, 20).when(F.col("tests") == 1, 10).otherwise(0)
     score += F.when(F.col("public"), 10).otherwise(0) + F.when(F.col("sqls") > 0, 10).otherwise(0) + F.when(F.col("envs") > 0, 5).otherwise(0)
     return p.withColumn("risk", F.least(F.lit(100), score).cast("int")).withColumn("label", E.risk_label("risk"))
 

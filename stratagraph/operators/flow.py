@@ -17,13 +17,30 @@ from pyspark.sql import functions as F
 from stratagraph.functions import expr as E
 from stratagraph.plans.graph import CodeGraph, cut
 
-# Which calls are sources and sinks.
-SOURCE_CALLS = {"os.Getenv": "environment", "os.LookupEnv": "environment", "r.FormValue": "http_request", "r.PostFormValue": "http_request"}
+# Which calls are sources and sinks, and which arguments of a sink count (None: all).
+SOURCE_CALLS = {
+    "os.Getenv": "environment", "os.LookupEnv": "environment",
+    "viper.GetString": "environment", "viper.GetBool": "environment", "viper.GetInt": "environment", "viper.Get": "environment",
+    "r.FormValue": "http_request", "r.PostFormValue": "http_request",
+}
+#: Calls that decode into one of their arguments.
+DECODE_CALLS = {"json.Unmarshal": 1, "json.UnmarshalRead": 1, "json.UnmarshalDecode": 1}
 SINK_CALLS = {
-    "Query": "sql_query", "QueryRow": "sql_query", "Exec": "sql_query", "QueryContext": "sql_query", "ExecContext": "sql_query",
+    "Query": "sql_query", "QueryRow": "sql_query", "Exec": "sql_query", "Prepare": "sql_query", "Raw": "sql_query",
+    "QueryContext": "sql_query", "QueryRowContext": "sql_query", "ExecContext": "sql_query", "PrepareContext": "sql_query",
     "exec.Command": "process_execution", "exec.CommandContext": "process_execution",
-    "os.WriteFile": "filesystem", "os.Open": "filesystem", "os.Create": "filesystem", "os.ReadFile": "filesystem",
-    "http.Get": "network", "http.Post": "network",
+    "os.WriteFile": "filesystem", "os.ReadFile": "filesystem", "os.Open": "filesystem", "os.OpenFile": "filesystem", "os.OpenRoot": "filesystem",
+    "os.Create": "filesystem", "os.Remove": "filesystem", "os.RemoveAll": "filesystem", "os.Mkdir": "filesystem", "os.MkdirAll": "filesystem",
+    "os.Chmod": "filesystem", "os.Chown": "filesystem", "os.Lchown": "filesystem", "os.Chtimes": "filesystem", "os.Truncate": "filesystem",
+    "os.Stat": "filesystem", "os.Lstat": "filesystem", "os.Readlink": "filesystem", "os.DirFS": "filesystem",
+    "os.CreateTemp": "filesystem", "os.MkdirTemp": "filesystem", "os.Rename": "filesystem", "os.Symlink": "filesystem", "os.Link": "filesystem",
+    "http.Get": "network", "http.Head": "network", "http.Post": "network", "http.PostForm": "network",
+    "http.NewRequest": "network", "http.NewRequestWithContext": "network", "Do": "network",
+}
+SINK_ARGUMENTS = {
+    "QueryContext": (1,), "QueryRowContext": (1,), "ExecContext": (1,), "PrepareContext": (1,), "exec.Command": None, "exec.CommandContext": None,
+    "os.CreateTemp": (0, 1), "os.MkdirTemp": (0, 1), "os.Rename": (0, 1), "os.Symlink": (0, 1), "os.Link": (0, 1),
+    "http.NewRequest": (1,), "http.NewRequestWithContext": (2,),
 }
 REQUEST_TYPES = ("*http.Request",)
 DEFAULT_K, MAX_K = 3, 16
@@ -50,6 +67,37 @@ def related(a, b):
     return (a == b) | a.startswith(F.concat(b, F.lit("."))) | b.startswith(F.concat(a, F.lit(".")))
 
 
+def sink_arguments(callee: str, count: int) -> range | tuple[int, ...]:
+    """Positions of the arguments that reach a sink; the first where nothing else is said."""
+    name = callee if callee in SINK_CALLS else callee.rpartition(".")[2]
+    found = SINK_ARGUMENTS.get(name, (0,))
+    return range(1 if name == "exec.CommandContext" else 0, count) if found is None else tuple(i for i in found if i < count)
+
+
+def resolve_calls(calls: DataFrame, g: CodeGraph, functions: DataFrame) -> DataFrame:
+    """FLW-10: (function_id, file, line, callee, callee_id): what a call may enter, by the first rule that finds something.
+
+    Typed ids at the same site, else the function of an imported package under its alias, else one of the same
+    package.  Three equi-joins; a call that none of them resolves has no row.
+    """
+    site = ["function_id", "file", "line", "callee"]
+    c = calls.select(*site).distinct()
+    known = functions.select(F.col("id").alias("callee_id")).distinct()
+    typed = g.calls.where("callee_symbol_id IS NOT NULL").select(F.col("caller_symbol_id").alias("function_id"), "file", "line", F.col("callee_raw").alias("callee"), F.col("callee_symbol_id").alias("callee_id")).distinct()
+    short = F.element_at(F.split("callee", r"\.|::"), -1)
+    names = F.array(F.element_at(F.split("import_path", "/"), -1), F.coalesce(F.nullif("alias", F.lit("")), F.element_at(F.split("import_path", "/"), -1)))
+    imported = g.imports.select(F.col("from_file").alias("file"), F.explode(names).alias("_q"), "import_path").distinct()
+    qualified = c.where(F.contains("callee", F.lit("."))).withColumn("_q", F.substring_index("callee", ".", 1)).join(imported, ["file", "_q"])
+    near = c.where(~F.contains("callee", F.lit("."))).withColumn("callee_id", F.concat(F.regexp_extract("function_id", "^(.*::)", 1), short))
+    found = reduce(DataFrame.unionByName, [
+        c.join(typed, site).select(*site, "callee_id", F.lit(1).alias("_tier")),
+        qualified.select(*site, F.concat_ws("::", "import_path", short).alias("callee_id"), F.lit(2).alias("_tier")),
+        near.select(*site, "callee_id", F.lit(3).alias("_tier")),
+    ]).join(known, "callee_id", "left_semi")
+    best = found.groupBy(*site).agg(F.min("_tier").alias("_tier"))
+    return found.join(best, [*site, "_tier"]).select(*site, "callee_id").distinct()
+
+
 def _root(c):
     return F.element_at(F.split(c, r"\."), 1)
 
@@ -81,11 +129,12 @@ def flow(g: CodeGraph, policy: dict | None = None, k: int = DEFAULT_K, tests: bo
 
     moves = facts.where("kind IN ('transfer', 'return')").select("function_id", F.col("target").alias("to"), F.explode("inputs").alias("from"))
     moves = cut(moves.withColumn("root", _root(F.col("from"))).distinct())
-    args = facts.where("kind = 'call'").select("function_id", "callee", "line", "column", F.col("target").alias("result"), F.posexplode("arguments").alias("pos", "refs")).withColumn("from", F.explode("refs")).drop("refs")
+    args = facts.where("kind = 'call'").select("function_id", "file", "callee", "line", "column", F.col("target").alias("result"), F.posexplode("arguments").alias("pos", "refs")).withColumn("from", F.explode("refs")).drop("refs")
     args = cut(args.withColumn("root", _root(F.col("from"))))
-    target = fn.select("callee_id", "name", "params")
-    args = cut(args.join(target, (args["callee"] == target["callee_id"]) | (E.short_name(args["callee"]) == F.lower(target["name"])), "left"))
+    entered = resolve_calls(args, g, g.flow_functions).join(fn.select("callee_id", "name", "params"), "callee_id")
+    args = cut(args.join(entered, ["function_id", "file", "line", "callee"], "left"))
     clean_kinds = reduce(lambda out, s: F.when(E.flow_function("callee", s["function"]), F.array(*map(F.lit, s.get("for") or ["*"]))).otherwise(out), policy.get("sanitizers", []), none)
+    args = args.withColumn("cleans", clean_kinds)
     attempted, rounds, done = 0, 0, False
     while rounds < max_rounds and attempted < limit:
         rounds += 1
@@ -96,12 +145,15 @@ def flow(g: CodeGraph, policy: dict | None = None, k: int = DEFAULT_K, tests: bo
         frame = F.concat_ws("@", "function_id", "line", "column")
         grown = F.concat("stack", F.array(frame))
         param = F.element_at("params", F.least(F.col("pos") + 1, F.size("params")))["name"]
-        inside = c.where("callee_id IS NOT NULL AND size(params) > 0").select(F.col("callee_id").alias("function_id"), param.alias("value"), "source", "clean", F.slice(grown, F.greatest(F.size(grown) - k + 1, F.lit(1)), F.lit(k)).alias("stack"), "low", (F.col("truncated") | (F.size(grown) > k)).alias("truncated"), F.concat("path", F.array("callee_id")).alias("path"))
-        through = c.where("callee_id IS NULL AND result IS NOT NULL").select("function_id", F.col("result").alias("value"), "source", F.array_sort(F.array_union("clean", clean_kinds)).alias("clean"), "stack", F.lit(True).alias("low"), "truncated", "path")
+        # Arguments beyond the parameters belong to a last one that is variadic, else to none.
+        takes = (F.col("pos") < F.size("params")) | F.element_at("params", -1)["type"].startswith("...")
+        inside = c.where("callee_id IS NOT NULL AND size(params) > 0").where(takes).select(F.col("callee_id").alias("function_id"), param.alias("value"), "source", "clean", F.slice(grown, F.greatest(F.size(grown) - k + 1, F.lit(1)), F.lit(k)).alias("stack"), "low", (F.col("truncated") | (F.size(grown) > k)).alias("truncated"), F.concat("path", F.array("callee_id")).alias("path"))
+        # A sanitiser cleans what goes in, resolved or not; any other unknown call hands it on with low confidence.
+        through = c.where("(callee_id IS NULL OR size(cleans) > 0) AND result IS NOT NULL").select("function_id", F.col("result").alias("value"), "source", F.array_sort(F.array_union("clean", "cleans")).alias("clean"), "stack", (F.col("low") | (F.size("cleans") == 0)).alias("low"), "truncated", "path")
         back = d.where(F.col("value").startswith("$return") & ((F.size("stack") > 0) | F.col("truncated")))
-        call = args.where("callee_id IS NOT NULL").select(F.col("callee_id").alias("function_id"), F.col("function_id").alias("caller"), F.concat_ws("@", "function_id", "line", "column").alias("frame"), "result").where("result IS NOT NULL").distinct()
+        call = args.where("callee_id IS NOT NULL").select(F.col("callee_id").alias("function_id"), F.col("function_id").alias("caller"), F.concat_ws("@", "function_id", "line", "column").alias("frame"), "result", "cleans").where("result IS NOT NULL").distinct()
         back = back.join(call, "function_id").where((F.size("stack") == 0) | (F.get("stack", F.size("stack") - 1) == F.col("frame")))
-        back = back.select(F.col("caller").alias("function_id"), F.col("result").alias("value"), "source", "clean", F.slice("stack", 1, F.greatest(F.size("stack") - 1, F.lit(0))).alias("stack"), (F.col("low") | (F.size("stack") == 0)).alias("low"), "truncated", F.concat("path", F.array("caller")).alias("path"))
+        back = back.select(F.col("caller").alias("function_id"), F.col("result").alias("value"), "source", F.array_sort(F.array_union("clean", "cleans")).alias("clean"), F.slice("stack", 1, F.greatest(F.size("stack") - 1, F.lit(0))).alias("stack"), (F.col("low") | (F.size("stack") == 0)).alias("low"), "truncated", F.concat("path", F.array("caller")).alias("path"))
         new = reduce(DataFrame.unionByName, [a, inside, through, back]).where("value IS NOT NULL")
         new = cut(new.groupBy(*key).agg(F.min_by(F.struct("low", "truncated", "path"), rank).alias("b")).select(*key, "b.low", "b.truncated", "b.path"))
         attempted += new.count()

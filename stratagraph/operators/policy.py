@@ -19,57 +19,91 @@ from stratagraph.operators.joins import boundary_violations
 from stratagraph.plans.graph import CodeGraph
 
 DEFAULTS = {"max_arity": 6, "max_complexity": 20}
+RULES = (
+    "boundaries", "api_drift", "require_tests_for_changed_routes", "require_tests_for_changed_exported_symbols",
+    "test_coverage", "no_orphans", "max_arity", "max_complexity", "new_globals",
+)
+#: What a rule can't be judged without: argument of ``check``, and the reason that is given where it is missing.
+NEEDS = {
+    "boundaries": ("layers", "no boundaries config exists"),
+    "api_drift": ("drift", "no baseline provided"),
+    "require_tests_for_changed_routes": ("changed", "no baseline or uncommitted changes provided"),
+    "require_tests_for_changed_exported_symbols": ("changed", "no baseline or uncommitted changes provided"),
+    "new_globals": ("baseline", "no baseline or uncommitted changes provided"),
+    "max_complexity": ("complexity", "no complexity facts provided"),
+}
+
+
+def _levels(config: dict) -> dict[str, tuple[str, int | None]]:
+    """(level, value) of each rule that is on; a name that isn't a rule is an error."""
+    if unknown := sorted(set(config) - set(RULES)):
+        raise ValueError(f"unknown check name in config: {unknown[0]}")
+    out = {}
+    for name, spec in config.items():
+        level, value = (spec.get("level", "off"), spec.get("value")) if isinstance(spec, dict) else (spec, None)
+        if level != "off":
+            out[name] = (level, value if value and value > 0 else DEFAULTS.get(name))
+    return out
+
+
+def skipped(config: dict, **inputs) -> list[tuple[str, str]]:
+    """(rule, reason) of rules that are on but can't be judged from ``inputs``."""
+    return [(name, NEEDS[name][1]) for name in RULES if name in _levels(config) and name in NEEDS and inputs.get(NEEDS[name][0]) is None]
 
 
 def _finding(df: DataFrame, rule: str, level: str, name, file, detail) -> DataFrame:
     return df.select(F.lit(rule).alias("rule"), F.lit(level).alias("level"), name.cast("string").alias("name"), file.cast("string").alias("file"), detail.cast("string").alias("detail"))
 
 
+def without_test(g: CodeGraph, s: DataFrame) -> DataFrame:
+    """Rows of ``s`` (id, name, ...) that no test edge names by id or by name."""
+    direct = g.test_edges.select(F.explode(F.array("target_symbol_id", "target")).alias("id")).where("id IS NOT NULL").distinct()
+    spelled = g.test_edges.select(E.short_name("target").alias("_n")).where("_n <> ''").distinct()
+    return s.join(direct, "id", "left_anti").join(spelled, F.lower(s["name"]) == F.col("_n"), "left_anti")
+
+
 def check(g: CodeGraph, config: dict, changed: DataFrame | None = None, drift: DataFrame | None = None, complexity: DataFrame | None = None, layers: list[dict] | None = None, baseline: CodeGraph | None = None) -> DataFrame:
-    """POL-01: findings of all rules that are on; a rule is a level or {'level', 'value'}."""
-    rule = lambda name: (lambda c: (c.get("level", "error"), c.get("value", DEFAULTS.get(name))) if isinstance(c, dict) else (c, DEFAULTS.get(name)))(config.get(name, "off"))
-    parts: list[DataFrame] = []
-    s = g.symbols.where(F.col("kind").isin("function", "method") & ~E.is_test_file("file"))
-    level, value = rule("max_arity")
-    if level != "off":
-        n = E.arg_count("signature")
-        parts.append(_finding(s.where(n > value), "max_arity", level, E.display_name(), F.col("file"), n))
-    level, value = rule("max_complexity")
-    if level != "off" and complexity is not None:
-        parts.append(_finding(complexity.where(F.col("complexity") > value), "max_complexity", level, F.col("name"), F.col("file"), F.col("complexity")))
-    level, _ = rule("no_orphans")
-    if level != "off":
-        parts.append(_finding(aggs.reachable_orphans(g), "no_orphans", level, E.display_name(), F.col("file"), F.lit("unreachable")))
-    level, _ = rule("test_coverage")
-    if level != "off":
-        parts.append(_finding(aggs.untested(g), "test_coverage", level, F.col("name"), F.col("file"), F.col("resolution")))
-    level, _ = rule("boundaries")
-    if level != "off" and layers:
-        parts.append(_finding(boundary_violations(g.imports, layers), "boundaries", level, F.col("from_package"), F.col("from_file"), F.col("import_path")))
-    level, _ = rule("api_drift")
-    if level != "off" and drift is not None:
-        parts.append(_finding(drift.where("breaking"), "api_drift", level, F.col("id"), F.lit(""), F.col("change")))
-    level, _ = rule("new_globals")
-    if level != "off" and baseline is not None:
-        fresh = g.symbols.where("kind = 'var'").join(baseline.symbols.where("kind = 'var'").select("id"), "id", "left_anti")
-        parts.append(_finding(fresh, "new_globals", level, F.col("name"), F.col("file"), F.lit("new package variable")))
-    if changed is not None:
-        tested = g.test_edges.select(F.col("target_symbol_id").alias("id")).where("id IS NOT NULL").distinct()
-        hit = s.join(changed.select("id").distinct(), "id", "left_semi").join(tested, "id", "left_anti")
-        level, _ = rule("exported_tests")
-        if level != "off":
-            parts.append(_finding(hit.where(F.col("name").rlike("^[A-Z]")), "exported_tests", level, F.col("name"), F.col("file"), F.lit("changed without test")))
-        level, _ = rule("route_tests")
-        if level != "off":
-            parts.append(_finding(hit.join(g.routes.select(F.col("handler").alias("id")).distinct(), "id", "left_semi"), "route_tests", level, F.col("name"), F.col("file"), F.lit("route handler changed without test")))
+    """POL-01: findings of all rules that are on and can be judged (see ``skipped``); a rule is a level or {'level', 'value'}."""
+    on = _levels(config)
+    missing = {name for name, _ in skipped(config, changed=changed, drift=drift, complexity=complexity, layers=layers, baseline=baseline)}
+    s = g.symbols.where(F.col("kind").isin("function", "method"))
+    exported = F.col("name").rlike("^[A-Z]")
+
+    def findings(rule: str, level: str, value: int | None) -> DataFrame:
+        if rule == "boundaries":
+            return _finding(boundary_violations(g.imports, layers), rule, level, F.col("from_package"), F.col("from_file"), F.col("import_path"))
+        if rule == "api_drift":
+            return _finding(drift.where("breaking"), rule, level, F.col("id"), F.lit(""), F.col("change"))
+        if rule == "require_tests_for_changed_routes":
+            hit = without_test(g, s.join(changed.select("id").distinct(), "id", "left_semi"))
+            handlers = g.routes.select(F.explode(F.array(F.lower("handler"), E.short_name("handler"))).alias("_h")).where("_h <> ''").distinct()
+            hit = hit.join(handlers, (F.lower("id") == F.col("_h")), "left_semi").unionByName(hit.join(handlers, F.lower("name") == F.col("_h"), "left_semi")).dropDuplicates(["id"])
+            return _finding(hit, rule, level, F.col("name"), F.col("file"), F.lit("changed route handler has no mapped tests"))
+        if rule == "require_tests_for_changed_exported_symbols":
+            hit = g.symbols.where(exported & (F.col("kind") != "interface") & ~E.is_test_file("file")).join(changed.select("id").distinct(), "id", "left_semi")
+            return _finding(without_test(g, hit), rule, level, F.col("name"), F.col("file"), F.lit("changed exported symbol has no mapped tests"))
+        if rule == "test_coverage":
+            return _finding(without_test(g, s.where(exported & ~E.is_test_file("file"))), rule, level, F.col("name"), F.col("file"), F.lit("exported symbol has no mapped tests"))
+        if rule == "no_orphans":
+            return _finding(aggs.reachable_orphans(g), rule, level, E.display_name(), F.col("file"), F.lit("unreachable"))
+        if rule == "max_arity":
+            n = E.arg_count("signature")
+            return _finding(s.where(n > value), rule, level, E.display_name(), F.col("file"), n)
+        if rule == "max_complexity":
+            return _finding(complexity.where(F.col("complexity") > value), rule, level, F.col("name"), F.col("file"), F.col("complexity"))
+        fresh = g.symbols.where("kind = 'var'").join(baseline.symbols.where("kind = 'var'").select("name").distinct(), "name", "left_anti")
+        return _finding(fresh, rule, level, F.col("name"), F.col("file"), F.lit("new package-level global"))
+
+    parts = [findings(rule, *on[rule]) for rule in RULES if rule in on and rule not in missing]
     if not parts:
         return g.spark.createDataFrame([], "rule string, level string, name string, file string, detail string")
     return reduce(DataFrame.unionByName, parts)
 
 
-def check_status(findings: DataFrame) -> DataFrame:
-    """passed, warning or failed, in one row."""
+def check_status(findings: DataFrame, skipped_rules: list[tuple[str, str]] | None = None) -> DataFrame:
+    """errors, warnings, skipped and passed, warning or failed, in one row."""
     n = findings.agg(F.sum(F.when(F.col("level") == "error", 1).otherwise(0)).alias("errors"), F.sum(F.when(F.col("level") == "warn", 1).otherwise(0)).alias("warnings")).na.fill(0)
+    n = n.withColumn("skipped", F.lit(len(skipped_rules or [])))
     return n.withColumn("status", F.when(F.col("errors") > 0, "failed").when(F.col("warnings") > 0, "warning").otherwise("passed"))
 
 
@@ -78,27 +112,42 @@ def changed_names(changes: DataFrame, symbols: DataFrame) -> DataFrame:
     return symbols.join(changes.select("id").distinct(), "id", "left_semi").select("id", E.short_name("name").alias("name")).distinct()
 
 
-def gate(g: CodeGraph, policy: dict, complexity: DataFrame | None = None, baseline: dict | None = None) -> DataFrame:
-    """POL-03: one row for each gate: value, limit, worst offender and pass or fail."""
+GATES = {"max_complexity": "complexity", "max_instability": "instability", "max_god_object_methods": "god_object_methods", "max_new_coupling_edges": "coupling_edges"}
+
+
+def gate(g: CodeGraph, policy: dict, complexity: DataFrame | None = None, baseline: dict | None = None, fresh: bool = True) -> DataFrame:
+    """POL-03: one row for each gate: value, limit, worst offender, and pass, fail or cannot_evaluate.
+
+    A gate that lacks its input can't be evaluated; a stale graph is refused.
+    """
+    if unknown := sorted(set(policy) - set(GATES) - {"allow_new_orphans"}):
+        raise ValueError(f"unknown gate: {unknown[0]}")
+    if not fresh:
+        raise ValueError("the graph is stale; build it again")
     rows: list[DataFrame] = []
 
-    def add(name: str, df: DataFrame, value, worst, limit) -> None:
+    def add(name: str, df: DataFrame | None, value=None, worst=None, limit=None) -> None:
+        if df is None:
+            rows.append(g.spark.createDataFrame([(name, None, None, None)], "gate string, value double, `limit` double, worst string"))
+            return
         rows.append(df.agg(F.max(value).cast("double").alias("value"), F.max_by(worst, value).cast("string").alias("worst")).select(F.lit(name).alias("gate"), F.coalesce("value", F.lit(0.0)).alias("value"), F.lit(float(limit)).alias("limit"), "worst"))
 
-    if "max_complexity" in policy and complexity is not None:
+    if "max_complexity" in policy:
         add("complexity", complexity, F.col("complexity"), F.col("name"), policy["max_complexity"])
     if "max_instability" in policy:
         add("instability", aggs.coupling(g, stdlib=True), F.col("instability"), F.col("package"), policy["max_instability"])
     if "max_god_object_methods" in policy:
         m = g.symbols.where("kind = 'method' AND receiver <> ''").groupBy(F.regexp_replace("receiver", r"^\*", "").alias("type")).agg(F.count("*").alias("n"))
         add("god_object_methods", m, F.col("n"), F.col("type"), policy["max_god_object_methods"])
-    if baseline and not policy.get("allow_new_orphans", False):
-        add("orphans", aggs.orphans_by_name(g).agg(F.count("*").alias("n")), F.col("n"), F.lit(""), baseline["orphan_count"])
-    if baseline and "max_new_coupling_edges" in policy:
-        add("coupling_edges", g.imports.select("from_package", "import_path").distinct().agg(F.count("*").alias("n")), F.col("n"), F.lit(""), baseline["coupling_edges"] + policy["max_new_coupling_edges"])
+    if not policy.get("allow_new_orphans", True):
+        add("orphans", None) if baseline is None else add("orphans", aggs.orphans_by_name(g).agg(F.count("*").alias("n")), F.col("n"), F.lit(""), baseline["orphan_count"])
+    if "max_new_coupling_edges" in policy:
+        edges = g.imports.select("from_package", "import_path").distinct().agg(F.count("*").alias("n"))
+        add("coupling_edges", None) if baseline is None else add("coupling_edges", edges, F.col("n"), F.lit(""), baseline["coupling_edges"] + policy["max_new_coupling_edges"])
     if not rows:
         return g.spark.createDataFrame([], "gate string, value double, `limit` double, worst string, outcome string")
-    return reduce(DataFrame.unionByName, rows).withColumn("outcome", F.when(F.col("value") > F.col("limit"), "fail").otherwise("pass"))
+    outcome = F.when(F.col("limit").isNull(), "cannot_evaluate").when(F.col("value") > F.col("limit"), "fail").otherwise("pass")
+    return reduce(DataFrame.unionByName, rows).withColumn("outcome", outcome)
 
 
 def create_boundaries(imports: DataFrame) -> DataFrame:

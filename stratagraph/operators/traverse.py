@@ -54,7 +54,7 @@ def impact(g: CodeGraph, start: DataFrame) -> DataFrame:
     return labelled(edges, start).join(own, ["seed", "id"], "left_anti").join(wrappers, "id", "left_anti")
 
 
-def path(g: CodeGraph, start: DataFrame, end: str, max_steps: int = 20) -> DataFrame:
+def path(g: CodeGraph, start: DataFrame, end: str, max_steps: int | None = None) -> DataFrame:
     """TRV-06: the best-ranked path from each seed to ``end``: certainty, then length, tests, spelling."""
     tests = g.symbols.where(E.is_test_path("file")).select(F.col("id").alias("dst"), F.lit(1).alias("test")).distinct()
     e = call_edges(g).join(tests, "dst", "left")

@@ -127,7 +127,7 @@ def virtual_edges(calls: DataFrame, imports: DataFrame | None = None, cross: Dat
     return reduce(DataFrame.unionByName, parts).where(F.col("certainty").isin(*allowed)).distinct()
 
 
-def path(edges: DataFrame, start: DataFrame, end: str, max_steps: int = 20) -> DataFrame:
+def path(edges: DataFrame, start: DataFrame, end: str, max_steps: int | None = None) -> DataFrame:
     """TRV-19: the best-ranked path over the overlay."""
     order = F.when(F.col("certainty") == "exact", 0).when(F.col("certainty") == "ambiguous", 1).otherwise(2)
     crossing = F.when(F.element_at(F.split("src", ":"), 1) != F.element_at(F.split("dst", ":"), 1), 1).otherwise(0)

@@ -59,18 +59,20 @@ def labelled(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -
     return found.groupBy("seed", "id").agg(F.min_by("depth", "way").alias("depth"), F.when(F.min("way") == 0, "exact").otherwise("possible").alias("resolution"))
 
 
-def best_paths(edges: DataFrame, seeds: DataFrame, cost: list[Column], max_steps: int = 20) -> DataFrame:
+def best_paths(edges: DataFrame, seeds: DataFrame, cost: list[Column], max_steps: int | None = None) -> DataFrame:
     """(seed, id, rank, path): the least path to each node by a rank that adds up along it.
 
     ``cost`` lists expressions over an edge (src, dst, ...), most important first; the
     first is combined by maximum, the others by sum.  Ties go to the smaller path.
+    The loop ends when no path gets better: ranks only fall, so that comes.
+    With ``max_steps`` only paths of so many edges count.
     """
     n = len(cost)
     steps = cut(edges.select("src", "dst", *[c.cast("int").alias(f"c{i}") for i, c in enumerate(cost)]).distinct())
     zero = F.struct(*[F.lit(0).alias(f"r{i}") for i in range(n)])
     best = cut(seeds.select("seed", "id", zero.alias("rank"), F.array("id").alias("path")))
     delta = best
-    for _ in range(max_steps):
+    for _ in range(ROUNDS if max_steps is None else max_steps):
         rank = F.struct(F.greatest(F.col("rank.r0"), F.col("c0")).alias("r0"), *[(F.col(f"rank.r{i}") + F.col(f"c{i}")).alias(f"r{i}") for i in range(1, n)])
         moved = delta.join(steps, delta["id"] == steps["src"]).where(~F.array_contains("path", F.col("dst")))
         moved = moved.select("seed", F.col("dst").alias("id"), rank.alias("rank"), F.concat("path", F.array("dst")).alias("path"))

@@ -169,9 +169,10 @@ def _(g):
     return census.schema(g, "Brand#4").select("id", "field")
 
 
-@register("prj18_constructors", "SELECT id FROM cg_symbols WHERE kind = 'function' AND part_type = 'ECONOMY'")
+@register("prj18_constructors", "SELECT id FROM cg_symbols WHERE kind IN ('function', 'method') AND (part_type = 'ECONOMY' OR package_name = 'pkg3' AND brand = 'ECONOMY')")
 def _(g):
-    return census.constructors(g, "economy").select("id")
+    returning = F.concat(F.lit("func "), "name", F.lit("(x ECONOMY) *"), "part_type", F.lit(", error"))
+    return census.constructors(g.replace(symbols=g.symbols.withColumn("signature", returning)), "ECONOMY").select("id")
 
 
 @register("prj20_mutate", "SELECT function, file, line, concat_ws('.', type_name, field) AS detail FROM cg_mutations WHERE field = 'Brand#5' AND type_name = 'ECONOMY'")
@@ -315,20 +316,18 @@ def _(g):
     return aggs.god_objects(g, 10).select("type", "methods", "calls", F.col("score").cast("long").alias("score"))
 
 
-@register("agg08_orphans_by_name", "SELECT id FROM cg_symbols s WHERE kind IN ('function', 'method') AND NOT EXISTS (SELECT 1 FROM cg_calls_thin c WHERE c.callee = s.id)")
+@register("agg08_orphans_by_name", "SELECT id FROM cg_symbols s WHERE kind IN ('function', 'method') AND NOT EXISTS (SELECT 1 FROM cg_calls c WHERE c.callee = s.id)")
 def _(g):
-    t = thin(g)
-    return aggs.orphans_by_name(t.replace(symbols=g.symbols.withColumn("name", F.col("id")))).select("id")
+    return aggs.orphans_by_name(g.replace(symbols=g.symbols.withColumn("name", F.col("id")))).select("id")
 
 
 @register("agg09_untested", """
-WITH RECURSIVE t(id) AS (SELECT DISTINCT target FROM cg_test_edges WHERE resolution = 'resolved_static' UNION SELECT c.callee FROM t JOIN cg_calls_thin c ON c.caller = t.id AND c.resolution = 'resolved_static'),
-cnt AS (SELECT callee AS id, count(*) AS callers FROM (SELECT DISTINCT caller, callee, file, line FROM cg_calls WHERE line = 1 AND return_usage = 'discarded') d GROUP BY callee)
+WITH RECURSIVE t(id) AS (SELECT DISTINCT target FROM cg_test_edges WHERE resolution = 'resolved_static' UNION SELECT c.callee FROM t JOIN cg_calls c ON c.caller = t.id AND c.resolution = 'resolved_static'),
+cnt AS (SELECT callee AS id, count(*) AS callers FROM (SELECT DISTINCT caller, callee, file, line FROM cg_calls) d GROUP BY callee)
 SELECT s.id, s.name, cnt.callers FROM cg_symbols s JOIN cnt ON cnt.id = s.id LEFT JOIN t ON t.id = s.id WHERE t.id IS NULL AND s.kind IN ('function', 'method') AND NOT s.is_test""")
 def _(g):
-    t = thin(g)
-    prefixed = t.test_edges.withColumn("test_func", F.concat(F.lit("test:"), "test_func"))
-    return aggs.untested(t.replace(test_edges=prefixed)).select("id", "name", "callers")
+    prefixed = g.test_edges.withColumn("test_func", F.concat(F.lit("test:"), "test_func"))
+    return aggs.untested(g.replace(test_edges=prefixed)).select("id", "name", "callers")
 
 
 @register("agg10_interface_methods")
@@ -338,21 +337,21 @@ def _(g):
 
 
 @register_views("agg11_statements", """
-WITH b AS (SELECT CAST(l_orderkey % 20000 AS INT) AS start_line, l_linenumber AS statements, CAST(l_quantity AS INT) % 3 AS cnt FROM lineitem WHERE l_linenumber < 3)
+WITH b AS (SELECT CAST(l_orderkey % 20000 AS INT) AS start_line, l_linenumber AS statements, CAST(l_quantity AS INT) % 3 AS cnt FROM lineitem)
 SELECT s.id, sum(b.statements)::BIGINT AS total, sum(CASE WHEN cnt > 0 THEN b.statements ELSE 0 END)::BIGINT AS statements FROM cg_symbols s JOIN b ON b.start_line BETWEEN s.line AND s.end_line GROUP BY s.id""")
 def _(get):
-    blocks = get("lineitem").where("l_linenumber < 3").selectExpr("'all' AS file", "CAST(l_orderkey % 20000 AS INT) AS start_line", "l_linenumber AS statements", "CAST(l_quantity AS INT) % 3 AS count")
+    blocks = get("lineitem").selectExpr("'all' AS file", "CAST(l_orderkey % 20000 AS INT) AS start_line", "l_linenumber AS statements", "CAST(l_quantity AS INT) % 3 AS count")
     return aggs.statements_in_range(get("cg_symbols").withColumn("file", F.lit("all")), blocks)
 
 
 @register_views("agg12_uncovered_lines", """
-WITH b AS (SELECT l_linenumber AS f, CAST(l_partkey AS INT) AS a, CAST(l_partkey + l_quantity AS INT) AS z, CAST(l_suppkey % 2 AS INT) AS cnt FROM lineitem WHERE l_orderkey % 50 = 0),
+WITH b AS (SELECT l_linenumber AS f, CAST(l_partkey AS INT) AS a, CAST(l_partkey + l_quantity AS INT) AS z, CAST(l_suppkey % 2 AS INT) AS cnt FROM lineitem),
 x AS (SELECT f, unnest(range(a, z + 1)) AS line, cnt FROM b), p AS (SELECT f, line, max(cnt) AS ran FROM x GROUP BY f, line),
 l AS (SELECT DISTINCT l_linenumber AS f, l_partkey AS line FROM lineitem WHERE l_returnflag = 'R')
 SELECT CAST(l.f AS VARCHAR) AS file, CAST(l.line AS INT) AS line FROM l JOIN p ON p.f = l.f AND p.line = l.line WHERE p.ran = 0""")
 def _(get):
     li = get("lineitem")
-    blocks = li.where("l_orderkey % 50 = 0").selectExpr("CAST(l_linenumber AS STRING) AS file", "CAST(l_partkey AS INT) AS start_line", "CAST(l_partkey + l_quantity AS INT) AS end_line", "1 AS statements", "CAST(l_suppkey % 2 AS INT) AS count")
+    blocks = li.selectExpr("CAST(l_linenumber AS STRING) AS file", "CAST(l_partkey AS INT) AS start_line", "CAST(l_partkey + l_quantity AS INT) AS end_line", "1 AS statements", "CAST(l_suppkey % 2 AS INT) AS count")
     return aggs.uncovered_lines(li.where("l_returnflag = 'R'").selectExpr("CAST(l_linenumber AS STRING) AS file", "CAST(l_partkey AS INT) AS line"), blocks)
 
 
@@ -441,11 +440,11 @@ def _(g):
 
 
 @register("trv07_reachable_orphans", """
-WITH RECURSIVE r(id) AS (SELECT id FROM cg_symbols WHERE kind IN ('function', 'method') AND (is_test OR exported) AND CAST(id AS BIGINT) % 20 = 0 UNION SELECT c.callee FROM r JOIN cg_calls_thin c ON c.caller = r.id)
+WITH RECURSIVE r(id) AS (SELECT id FROM cg_symbols WHERE kind IN ('function', 'method') AND (is_test OR exported) UNION SELECT c.callee FROM r JOIN cg_calls c ON c.caller = r.id)
 SELECT s.id, s.name FROM cg_symbols s LEFT JOIN r ON r.id = s.id WHERE r.id IS NULL AND s.kind IN ('function', 'method') AND NOT s.is_test""")
 def _(g):
-    roots = g.symbols.where("kind IN ('function', 'method') AND (is_test OR exported) AND CAST(id AS BIGINT) % 20 = 0").select("id")
-    bare = CodeGraph(g.spark, {"symbols": g.symbols, "calls": thin(g).calls})
+    roots = g.symbols.where("kind IN ('function', 'method') AND (is_test OR exported)").select("id")
+    bare = CodeGraph(g.spark, {"symbols": g.symbols, "calls": g.calls})
     return aggs.unreached(bare, roots).select("id", "name")
 
 
@@ -531,16 +530,22 @@ def _(get):
     return diffs.dedupe_edges(e, ["caller", "callee"])
 
 
-@register("pol01_max_arity", "SELECT 'max_arity' AS rule, id AS name FROM cg_symbols WHERE kind IN ('function', 'method') AND NOT is_test")
+@register("pol01_check", """
+SELECT 'max_arity' AS rule, 'warn' AS level, CASE WHEN receiver <> '' THEN '(' || receiver || ').' || name ELSE name END AS name, file, '2' AS detail FROM cg_symbols WHERE kind IN ('function', 'method')
+UNION ALL SELECT 'test_coverage', 'error', upper(name), file, 'exported symbol has no mapped tests' FROM cg_symbols s WHERE kind IN ('function', 'method') AND NOT is_test AND NOT EXISTS (SELECT 1 FROM cg_test_edges t WHERE t.target = s.id)
+UNION ALL SELECT 'boundaries', 'error', 'x.y/' || from_package, from_file, 'x.y/' || to_package FROM cg_imports WHERE from_package = 'pkg1' AND to_package <> 'pkg2'""")
 def _(g):
-    s = g.symbols.withColumn("name", F.col("id")).withColumn("receiver", F.lit(""))
-    return policy.check(g.replace(symbols=s), {"max_arity": {"level": "warn", "value": 0}}).select("rule", "name")
+    named = g.imports.withColumn("from_package", F.concat(F.lit("x.y/"), "from_package")).withColumn("import_path", F.concat(F.lit("x.y/"), "import_path"))
+    layers = [{"name": "api", "packages": ["x.y/pkg1"], "may_import": ["core"]}, {"name": "core", "packages": ["x.y/pkg2"], "may_import": []}]
+    arity = policy.check(g, {"max_arity": {"level": "warn", "value": 1}})
+    upper = g.replace(symbols=g.symbols.withColumn("name", F.upper("name")).withColumn("receiver", F.lit("")), imports=named)
+    return arity.unionByName(policy.check(upper, {"test_coverage": "error", "boundaries": "error", "api_drift": "off"}, layers=layers))
 
 
 @register("pol03_gate", """
-WITH m AS (SELECT receiver, count(*) AS n FROM cg_symbols WHERE kind = 'method' GROUP BY receiver) SELECT 'god_object_methods' AS gate, CAST(max(n) AS DOUBLE) AS value, CAST(30 AS DOUBLE) AS "limit", CASE WHEN max(n) > 30 THEN 'fail' ELSE 'pass' END AS outcome FROM m""")
+WITH m AS (SELECT receiver, count(*) AS n FROM cg_symbols WHERE kind = 'method' GROUP BY receiver) SELECT 'god_object_methods' AS gate, CAST(max(n) AS DOUBLE) AS value, CAST(30 AS DOUBLE) AS "limit", CASE WHEN max(n) > 30 THEN 'fail' ELSE 'pass' END AS outcome FROM m UNION ALL SELECT 'complexity', NULL, NULL, 'cannot_evaluate'""")
 def _(g):
-    return policy.gate(g, {"max_god_object_methods": 30}).select("gate", "value", "limit", "outcome")
+    return policy.gate(g, {"max_god_object_methods": 30, "max_complexity": 5}).select("gate", "value", "limit", "outcome")
 
 
 @register("pol09_call_edge", "SELECT CASE WHEN count(*) > 0 THEN 'pass' ELSE 'fail' END AS outcome, count(*) AS evidence FROM cg_calls WHERE caller = '1' AND callee = '7'")
@@ -569,7 +574,8 @@ def _(g):
 WITH RECURSIVE dn(seed, id) AS (SELECT s, s FROM {S} v(s) UNION SELECT dn.seed, c.callee FROM dn JOIN cg_calls_thin c ON c.caller = dn.id),
 e AS (SELECT DISTINCT caller AS a, callee AS b FROM cg_calls_thin UNION ALL SELECT DISTINCT concat('t', test_id), target FROM cg_test_edges),
 up(seed, id) AS (SELECT s, s FROM {S} v(s) UNION SELECT up.seed, e.a FROM up JOIN e ON e.b = up.id),
-c AS (SELECT callee, count(*) AS n FROM (SELECT DISTINCT caller, callee, file FROM cg_calls WHERE line = 1 AND return_usage = 'discarded') q GROUP BY callee),
+ca(seed, id) AS (SELECT s, s FROM {S} v(s) UNION SELECT ca.seed, q.caller FROM ca JOIN cg_calls_thin q ON q.callee = ca.id),
+c AS (SELECT seed AS callee, count(*) - 1 AS n FROM ca GROUP BY seed),
 t AS (SELECT seed, count(*) AS n FROM up WHERE starts_with(id, 't') GROUP BY seed)
 SELECT v.s AS seed, least(100, least(30, 3 * coalesce(c.n, 0)) + CASE WHEN coalesce(t.n, 0) = 0 THEN 20 WHEN t.n = 1 THEN 10 ELSE 0 END
 + CASE WHEN EXISTS (SELECT 1 FROM dn JOIN cg_sqls q ON q.function = dn.id WHERE dn.seed = v.s) THEN 10 ELSE 0 END + CASE WHEN EXISTS (SELECT 1 FROM dn JOIN cg_env_reads q ON q.function = dn.id WHERE dn.seed = v.s) THEN 5 ELSE 0 END)::INT AS risk

@@ -100,7 +100,9 @@ def test_expressions(spark):
     assert one(E.test_name(F.lit("TestX"))) and not one(E.test_name(F.lit("Testing")))
     assert one(E.is_stdlib(F.lit("net/http"))) and not one(E.is_stdlib(F.lit("ex.io/a")))
     assert one(E.match_package(F.lit("a/b/c"), "a/**")) and not one(E.match_package(F.lit("a/b/c"), "a/*"))
-    assert E.explore_terms("How does the Login work?") == ["login", "work"]
+    assert one(E.match_package(F.lit("a/b"), "a/*")) and not one(E.match_package(F.lit("a/b"), "*")) and not one(E.match_package(F.lit("a/b"), "**"))
+    assert E.explore_terms("How does the Login work, for users?") == ["Login", "for", "users"] and E.explore_terms("what is the") == ["what is the"]
+    assert one(E.arg_count(F.lit("func F(a int) (T, error)"))) == 2
     assert E.test_pattern(["B", "A"]) == ["^(A|B)$"] and len(E.test_pattern([f"Test{i}" for i in range(100)], 100)) > 5
 
 
@@ -151,9 +153,122 @@ def test_policies(g):
     assert out({"predicate": "callers_only_from", "subject": {"id": "b"}, "allow": ["p"]}) == "fail"  # x has no package
     with pytest.raises(ValueError):
         policy.parse_binding('{"predicate": "x", "subject": {}}')
-    found = policy.check(g, {"max_arity": {"level": "error", "value": 0}})
-    assert policy.check_status(found).first()["status"] == "failed"
+    many = g.replace(symbols=g.symbols.withColumn("signature", F.lit("func f(a, b, c, d, e, f, g int)")))
+    assert policy.check_status(policy.check(many, {"max_arity": "error"})).first()["status"] == "failed"
+    assert policy.check(g, {"max_arity": {"level": "error", "value": 0}}).count() == 0  # no limit means six
     assert policy.check_status(policy.check(g, {})).first()["status"] == "passed"
+    with pytest.raises(ValueError):
+        policy.check(g, {"nonsense": "error"})
+    config = {"max_complexity": "error", "api_drift": "warn", "new_globals": "off", "require_tests_for_changed_routes": "error"}
+    left = policy.skipped(config)
+    assert [r for r, _ in left] == ["api_drift", "require_tests_for_changed_routes", "max_complexity"]
+    assert policy.check_status(policy.check(g, config), left).first().asDict() == {"errors": 0, "warnings": 0, "skipped": 3, "status": "passed"}
+    changed = g.symbols.where("id IN ('a', 'b')").select("id")
+    assert policy.check(g, {"require_tests_for_changed_routes": "error"}, changed=changed).count() == 0  # TestA exercises a
+    bare = CodeGraph(g.spark, {k: v for k, v in g.relations.items() if k != "test_edges"})
+    assert [r["name"] for r in policy.check(bare, {"require_tests_for_changed_routes": "error"}, changed=changed).collect()] == ["a"]
+    gates = {r["gate"]: r["outcome"] for r in policy.gate(g, {"max_complexity": 5, "max_god_object_methods": 1}).collect()}
+    assert gates == {"complexity": "cannot_evaluate", "god_object_methods": "pass"}
+    with pytest.raises(ValueError):
+        policy.gate(g, {"max_nonsense": 1})
+
+
+def test_interface_methods(spark):
+    """Only methods that an implements edge of their own receiver asks for, and the usual names."""
+    own = CodeGraph(spark, {
+        "symbols": rel(spark, "symbols", sym("p::Runner", "interface", "Runner", interface_methods={"Run": "()"}), sym("p::(*T).Run", "method", "Run", receiver="*T"), sym("p::(*Other).Run", "method", "Run", receiver="*Other"), sym("p::(*T).Scan", "method", "Scan", receiver="*T"), sym("p::Box[K].Run", "method", "Run", receiver="Box[K]"), sym("p::Run", name="Run")),
+        "implements": rel(spark, "implements", {"interface": "Runner", "concrete": "T", "interface_id": "p::Runner", "concrete_id": "p::T"}, {"interface": "Runner", "concrete": "Box", "interface_id": "p::Runner", "concrete_id": "p::Box"}),
+    })
+    assert ids(aggs.interface_method_ids(own)) == ["p::(*T).Run", "p::(*T).Scan", "p::Box[K].Run"]
+
+
+def test_roles(spark):
+    calls = [call(f"c{i}", "hub", i) for i in range(5)] + [call("hub", f"d{i}", i) for i in range(5)] + [call("x", "one", 1), call("one", "query", 2), call("t", "query", 3, file="p/a_test.go")]
+    symbols = [sym(n) for n in ("hub", "one", "query", "lone", "leaf", "page")] + [sym("D", "struct", "D"), sym("I", "interface", "I"), sym("Big", "struct", "Big", struct_fields=[(f"F{i}", "int", "") for i in range(15)])]
+    own = CodeGraph(spark, {"symbols": rel(spark, "symbols", *symbols), "calls": rel(spark, "calls", *calls, call("y", "leaf", 9)), "sqls": rel(spark, "sqls", {"query": "SELECT 1", "function": "query"}), "routes": rel(spark, "routes", {"method": "GET", "path": "/", "handler": "h.page"})})
+    e = aggs.evidence(own, own.symbols)
+    full = {r["id"]: r["r"] for r in e.select("id", E.role().alias("r")).collect()}
+    assert full == {
+        "hub": "high-traffic orchestrator", "one": "data access layer", "query": "data access layer", "lone": "unused or entry point (no detected production callers)", "leaf": "leaf function",
+        "page": "HTTP handler (entry point)", "D": "data transfer object (no methods)", "I": "contract definition", "Big": "large data model or potential god object",
+    }
+    quick = {r["id"]: r["r"] for r in e.where("kind = 'function'").select("id", E.quick_role().alias("r")).collect()}
+    assert quick == {"hub": "orchestrator", "one": "internal", "query": "data access", "lone": "entry point", "leaf": "internal", "page": "HTTP handler"}
+
+
+def test_constructors_and_schema(spark):
+    s = [sym("p::NewT", name="NewT", signature="func NewT(u *U) (*T, error)"), sym("p::Of", name="Of", signature="func Of() p.T"), sym("p::(F).Make", "method", "Make", receiver="F", signature="func (F) Make() *T"), sym("p::Use", name="Use", signature="func Use(t *T) error"), sym("p::Two", name="Two", signature="func Two() (T, error)")]
+    tags = {"A": 'db:"users"', "B": 'db:"users_old"', "C": 'gorm:"column:users"', "D": 'json:"users,omitempty"'}
+    own = CodeGraph(spark, {"symbols": rel(spark, "symbols", *s, *[sym(n, "struct", n, struct_fields=[("F", "int", t)]) for n, t in tags.items()])})
+    assert ids(census.constructors(own, "T")) == ["p::(F).Make", "p::NewT", "p::Of"]
+    assert ids(census.constructors(own, "p.T")) == ["p::(F).Make", "p::NewT", "p::Of"]
+    assert ids(census.schema(own, "Users")) == ["A", "C", "D"]
+
+
+def test_explore_rank(spark):
+    rows = spark.createDataFrame([("var", "Login flow", "a.go", "", 1), ("call", "Login flow", "a.go", "", 1), ("function", "login", "login.go", "flow", 5)], "kind string, name string, file string, detail string, score int")
+    got = {r["kind"]: r["score"] for r in compose.explore_rank(rows.withColumn("line", F.lit(1)), "Login flow", ["Login", "flow"]).collect()}
+    assert got == {"var": 1 + 1000 + 100 + 60, "call": 1 + 1000 + 60, "function": 5 + 100 + 100 + 10 + 5}
+
+
+def test_long_path(spark):
+    """A target forty steps away is found; a bound is only kept where one is given."""
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(40)], "src string, dst string")
+    start = spark.createDataFrame([("n0", "n0")], "seed string, id string")
+    far = fixpoint.best_paths(edges, start, [F.lit(0), F.lit(1)])
+    assert far.where("id = 'n40'").first()["rank"]["r1"] == 40
+    assert fixpoint.best_paths(edges, start, [F.lit(0), F.lit(1)], 3).count() == 4
+
+
+def fact(function, kind, line, **more):
+    return {"function_id": function, "function": function, "file": "p/a.go", "kind": kind, "inputs": [], "arguments": [], "line": line, "column": 1} | more
+
+
+def taint(spark, facts, policy=None, calls=(), imports=(), **functions):
+    """(source, sink, confidence) of a small flow graph; ``functions`` maps names to their parameters."""
+    own = CodeGraph(spark, {
+        "flow_facts": rel(spark, "flow_facts", *facts), "calls": rel(spark, "calls", *calls), "imports": rel(spark, "imports", *imports),
+        "flow_functions": rel(spark, "flow_functions", *[{"id": f"p::{n}", "name": n, "file": "p/a.go", "params": p} for n, p in functions.items()]),
+    })
+    found, report = flow.flow(own, policy)
+    assert report["complete"]
+    return sorted((r["source_function"], r["sink_function"], r["sink_kind"], r["confidence"]) for r in found.collect())
+
+
+def test_flow_calls(spark):
+    """A call enters a function by its typed id, an import's alias or its own package, never by a like name elsewhere."""
+    read = fact("p::main", "source", 1, target="v", source_kind="environment")
+    sink = fact("p::save", "sink", 9, sink_kind="sql_query", inputs=["s"])
+    to = lambda callee, **more: fact("p::main", "call", 2, target="$call:2:1", callee=callee, inputs=["v"], arguments=[["v"]], **more)
+    save = {"main": [], "save": [("s", "string")]}
+    assert taint(spark, [read, sink, to("save")], **save) == [("p::main", "p::save", "sql_query", "high")]
+    assert taint(spark, [read, sink, to("ext.save")], **save) == []
+    assert taint(spark, [read, sink, to("db.save")], imports=[{"from_file": "p/a.go", "from_package": "p", "import_path": "p", "alias": "db"}], **save) == [("p::main", "p::save", "sql_query", "high")]
+    typed = {"caller_symbol_id": "p::main", "callee_raw": "x.Do", "callee_symbol_id": "p::save", "file": "p/a.go", "line": 2}
+    assert taint(spark, [read, sink, to("x.Do")], calls=[typed], **save) == [("p::main", "p::save", "sql_query", "high")]
+    # The result of an unknown call goes on with low confidence.
+    own = fact("p::main", "sink", 3, sink_kind="network", inputs=["$call:2:1"])
+    assert taint(spark, [read, own, to("ext.wrap")], **save) == [("p::main", "p::main", "network", "low")]
+
+
+def test_flow_arguments_and_sanitisers(spark):
+    read = fact("p::main", "source", 1, target="v", source_kind="environment")
+    sink = fact("p::put", "sink", 9, sink_kind="sql_query", inputs=["rest"])
+    args = fact("p::main", "call", 2, target="$call:2:1", callee="put", inputs=["v"], arguments=[["a"], ["b"], ["v"]])
+    assert taint(spark, [read, sink, args], main=[], put=[("x", "string"), ("rest", "...string")]) == [("p::main", "p::put", "sql_query", "high")]
+    assert taint(spark, [read, sink, args], main=[], put=[("x", "string"), ("rest", "string")]) == []
+    clean = [read, fact("p::main", "call", 2, target="$call:2:1", callee="quote", inputs=["v"], arguments=[["v"]]), fact("p::quote", "return", 8, target="$return:0", inputs=["s"]), fact("p::main", "sink", 3, sink_kind="sql_query", inputs=["$call:2:1"]), fact("p::main", "sink", 4, sink_kind="network", inputs=["$call:2:1"])]
+    both = {"main": [], "quote": [("s", "string")]}
+    assert [r[2] for r in taint(spark, clean, **both)] == ["network", "sql_query"]
+    assert [r[2] for r in taint(spark, clean, {"sanitizers": [{"function": "quote", "for": ["sql_query"]}]}, **both)] == ["network"]
+    assert taint(spark, clean, {"sanitizers": [{"function": "quote"}]}, **both) == []
+
+
+def test_sink_arguments():
+    facts = parse("p/a.go", 'package p\n\nimport (\n\t"encoding/json"\n\t"os"\n)\n\nfunc run(a, b string, raw []byte) {\n\tos.WriteFile(a, b, 0)\n\tos.Rename(a, b)\n\tvar out T\n\tjson.Unmarshal(raw, out)\n}\n', "ex.io/p")["flow_facts"]
+    sinks = [(f["callee"], f["inputs"]) for f in facts if f["kind"] == "sink"]
+    assert sinks == [("os.WriteFile", ["a"]), ("os.Rename", ["a", "b"])]
+    assert [(f["target"], f["source_kind"]) for f in facts if f["kind"] == "source"] == [("out", "decoded_json")]
 
 
 def test_diffs(spark, g):
