@@ -630,3 +630,6 @@ def _(get):
     s = get("cg_symbols").select(F.col("id").alias("caller"), (F.col("package_key") % 5).cast("string").alias("repository_id"))
     c = get("cg_calls_thin").join(s, "caller").select("repository_id", F.col("caller").alias("caller_symbol_id"), F.col("caller").alias("caller_name"), F.col("callee").alias("callee_symbol_id"), "resolution")
     return workspace.virtual_edges(c, certainty="exact").select("src", "dst")
+
+
+from stratagraph import queries_detail  # noqa: E402, F401  it registers more queries with the functions above

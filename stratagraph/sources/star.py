@@ -29,6 +29,11 @@ VIEWS: dict[str, str] = {
     "cg_sqls": "SELECT CAST(event_id AS INT) AS line, CAST(user_id AS STRING) AS function, CASE WHEN event_type = 'purchase' THEN concat('INSERT INTO t', regexp_extract(props, '\"k\": *([0-9]+)', 1), ' VALUES (1)') ELSE concat('SELECT id FROM t', regexp_extract(props, '\"k\": *([0-9]+)', 1)) END AS query, concat('t', regexp_extract(props, '\"k\": *([0-9]+)', 1)) AS table_name, CASE WHEN event_type = 'purchase' THEN 'INSERT' ELSE 'SELECT' END AS verb, CASE WHEN event_type = 'purchase' THEN 'write' ELSE 'read' END AS access FROM {events} WHERE event_type IN ('purchase', 'signup')",
     "cg_session_log": "SELECT user_id, event_id, ts, CASE event_type WHEN 'signup' THEN 'plan' WHEN 'purchase' THEN 'review' WHEN 'click' THEN 'callers' WHEN 'view' THEN 'context' ELSE 'source' END AS command, CASE WHEN event_type = 'error' THEN 'failure' ELSE 'success' END AS status, sum(is_new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS session_no FROM (SELECT *, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NULL OR ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL '2' HOUR THEN 1 ELSE 0 END AS is_new FROM {events}) q",
     "cg_symbols_baseline": "SELECT id, name, package_key, kind, package_name, file, line, is_test, exported, signature, receiver, part_type, brand, CASE WHEN CAST(id AS BIGINT) % 7 = 1 THEN arity + 1 ELSE arity END AS arity FROM {cg_symbols} WHERE CAST(id AS BIGINT) % 7 <> 0",
+    "cg_implements": "SELECT DISTINCT p_brand AS interface, concat('Brand#', CAST(l_suppkey % 25 + 1 AS STRING)) AS concrete, CAST(p_partkey AS STRING) AS interface_id FROM {lineitem} JOIN {part} ON p_partkey = l_partkey WHERE p_partkey % 10 = 9",
+    "cg_http_calls": "SELECT CAST(page_id AS INT) AS source_line, CAST(page_id * 3 AS STRING) AS function_name, CASE WHEN page_id % 4 = 0 THEN 'POST' ELSE 'GET' END AS method, url FROM {pages}",
+    "cg_concurrency": "SELECT CASE event_id % 4 WHEN 0 THEN 'goroutine' WHEN 1 THEN 'channel send' WHEN 2 THEN 'channel receive' ELSE 'mutex lock' END AS kind, CAST(user_id AS STRING) AS function, CAST(event_id AS INT) AS line FROM {events} WHERE event_type = 'click'",
+    "cg_literals": "SELECT p_type AS type_name, CAST(l_suppkey AS STRING) AS function, CAST(l_orderkey AS STRING) AS file, l_linenumber AS line FROM {lineitem} JOIN {part} ON p_partkey = l_partkey WHERE l_returnflag = 'N'",
+    "cg_field_uses": "SELECT p_type AS type_name, p_brand AS field, CASE WHEN l_returnflag = 'A' THEN 'write' ELSE 'read' END AS access, CAST(l_suppkey AS STRING) AS function, CAST(l_orderkey AS STRING) AS file, l_linenumber AS line FROM {lineitem} JOIN {part} ON p_partkey = l_partkey",
     "cg_mutations": "SELECT p_brand AS field, p_type AS type_name, CAST(l_suppkey AS STRING) AS function, CAST(l_orderkey AS STRING) AS file, l_linenumber AS line FROM {lineitem} JOIN {part} ON p_partkey = l_partkey WHERE l_linenumber = 3 AND l_returnflag = 'A'",
 }
 
@@ -94,6 +99,11 @@ def star_graph(spark: SparkSession, sf_dir: str) -> CodeGraph:
             "errors": lambda: v("cg_errors").selectExpr("message", "function", "'e.go' AS file", "line"),
             "env_reads": lambda: v("cg_env_reads").selectExpr("env_key AS key", "'os.Getenv' AS accessor", "'e.go' AS file", "line", "function", "true AS precise"),
             "sqls": lambda: v("cg_sqls").selectExpr("query", "function", "'q.go' AS file", "line", "verb", "access", "'exact' AS classification", "array(named_struct('name', table_name, 'access', access)) AS tables"),
+            "implements": lambda: v("cg_implements").selectExpr("interface", "concrete", "interface_id", "concrete AS concrete_id"),
+            "http_calls": lambda: v("cg_http_calls").selectExpr("'c.go' AS source_file", "source_line", "function_name", "method", "url", "'' AS url_base", "'' AS url_suffix", "CAST(array() AS array<string>) AS static_segments", "false AS has_dynamic", "true AS url_suffix_static", "false AS request_only"),
+            "concurrency": lambda: v("cg_concurrency").selectExpr("kind", "function", "'g.go' AS file", "line", "'' AS detail"),
+            "literals": lambda: v("cg_literals"),
+            "field_uses": lambda: v("cg_field_uses").selectExpr("type_name", "'' AS package", "field", "access", "function", "file", "line", "1 AS column"),
             "mutations": lambda: v("cg_mutations").selectExpr("*", "'assign' AS via", "true AS precise"),
         },
     )
