@@ -32,9 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from stratagraph.llm.session import small_batches
+
 MARK = "\0"
-#: Entries of a worker's memory of words (about 300 bytes each); it starts anew when full.
-REMEMBERED = 3 << 19
+#: Chunks and words that a worker remembers (about 250 bytes each), and how long they are at most; its memory starts anew when full.
+REMEMBERED, LONGEST = 800_000, 64
 # White space as Unicode has it, and the control characters that only str.split() takes for it.
 SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 NOT_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
@@ -55,13 +57,15 @@ def chunks(text: str) -> list[str]:
 
 
 class Memory(dict):
-    """Packed ids by chunk; what is missing is encoded and kept."""
+    """Packed ids by chunk or word (a chunk that is a word has the word's ids); what is missing is encoded, and kept unless long."""
 
     def __init__(self, encode: Callable[[str], bytes]):
         self.encode = encode
 
     def __missing__(self, chunk: str) -> bytes:
-        out = self[chunk] = self.encode(chunk)
+        out = self.encode(chunk)
+        if len(chunk) <= LONGEST:
+            self[chunk] = out
         return out
 
 
@@ -107,8 +111,7 @@ class WordBpe:
         self.sizes = np.array([len(b) for b in blobs], np.int64)
         self.offsets = np.cumsum(self.sizes) - self.sizes
         self.blob = np.frombuffer(b"".join(blobs), np.uint8)
-        self.memory = Memory(self.encode_chunk)
-        self.words: dict[str, bytes] = {}
+        self.memory = self.words = Memory(self.encode_chunk)
         whole = Tokenizer.from_file(path)
         self.normal, self.prepare = whole.normalizer, whole.pre_tokenizer
 
@@ -198,7 +201,9 @@ class WordBpe:
 
     def _word(self, word: str) -> bytes:
         symbols = word if word.isalpha() and word.isascii() else "".join(map(self.symbols.__getitem__, word.encode()))
-        out = self.words[word] = self._pack(self.merge(symbols + MARK))
+        out = self._pack(self.merge(symbols + MARK))
+        if len(word) <= LONGEST:
+            self.words[word] = out
         return out
 
     @staticmethod
@@ -210,7 +215,6 @@ class WordBpe:
         memory = self.memory
         if len(memory) > REMEMBERED:
             memory.clear()
-            self.words.clear()
         return b"".join(map(memory.__getitem__, chunks(text)))
 
     def encode(self, text: str) -> list[int]:
@@ -244,7 +248,7 @@ def _each(documents: DataFrame, schema: str, types: list[pa.DataType], one: Call
                 found = [one(t or "") for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*found), types))], names=[f.split()[0] for f in schema.split(", ")])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return small_batches(documents).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
 def encode(documents: DataFrame, path: str) -> DataFrame:

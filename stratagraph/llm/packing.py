@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratagraph.llm import bpe
-from stratagraph.llm.session import materialise
+from stratagraph.llm.session import materialise, small_batches
 
 CAPACITY = 4096
 END = 1
@@ -217,7 +217,7 @@ def pieces(documents: DataFrame, path: str, capacity: int = CAPACITY, end: int =
                 kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(row)), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names=["doc_id", "piece", "start", "length", "ids_crc32", "task", "rank"])
 
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = small_batches(documents).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return docs.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, task int, rank long")
 
 

@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratagraph.llm.session import small_batches
+
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE = 400
 HIDDEN, EMBED, CLASSES = 8, 8, 48
@@ -499,7 +501,7 @@ def fit(documents: DataFrame, sample: int = SAMPLE) -> dict[str, np.ndarray]:
 def find(documents: DataFrame, weights: dict[str, np.ndarray], keep: list[str] | None = None, redact: bool = False) -> DataFrame:
     """Counts, digest and spans of every document; with ``redact`` also the text with ``[KIND]`` for each span."""
     names = keep or ["doc_id"]
-    docs = documents.select(*names, F.coalesce("text", F.lit("")).alias("_text"))
+    docs = small_batches(documents).select(*names, F.coalesce("text", F.lit("")).alias("_text"))
     shapes = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.drop("_text").schema.fields)
     schema = shapes + ", n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string" + ", redacted string" * redact
     known = documents.sparkSession.sparkContext.broadcast(weights)

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of whole texts that go to a Python worker at once; Spark's own 10,000 keep several times as much memory in both.
+BATCH_ROWS = 1000
 #: Repeated ids that may be broadcast.
 REPEATED_IDS = 500_000
 
@@ -28,6 +30,14 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``; its session sends at most ``BATCH_ROWS`` rows to Python at once from now on."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
+
+
 def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     """Write to the shared folder and read back: cuts the lineage, survives lost executors.
 
@@ -66,6 +76,7 @@ def with_key(docs: DataFrame, name: str = "k") -> DataFrame:
     nothing.  The repeated ids are broadcast; beyond ``REPEATED_IDS`` of them
     all rows carry the hash, so no text is shuffled for its key.
     """
+    small_batches(docs)
     digest = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     ids = docs.select(F.col("doc_id").cast("long").alias("_again")).where("_again IS NOT NULL").groupBy("_again").agg(F.count("*").alias("_n"))
     again = materialise(ids.where("_n > 1").select("_again"), "ids")

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from stratagraph.llm import textnum as T
-from stratagraph.llm.session import drop, materialise
+from stratagraph.llm.session import drop, materialise, small_batches
 
 SIZES = (4, 5, 6)
 TRAIN_ROWS = 12_000
@@ -150,6 +150,7 @@ def _logistic(rows: np.ndarray, which: np.ndarray, label: np.ndarray, scale: np.
 
 def fit(documents: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> dict:
     """{'features', 'weights', 'intercept'} from the labelled rows that are not held out."""
+    small_batches(documents)
     usable = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(~held_out("doc_id"))
     usable = usable.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     usable = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(train_rows)
@@ -194,7 +195,7 @@ def held_out(column: str) -> Column:
 def score(documents: DataFrame, model: dict, threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:
     """doc_id (or the columns ``keep``), score and predicted for every row."""
     names = keep or ["doc_id"]
-    docs = documents.select(*names, *(["text"] if "text" not in names else []))
+    docs = small_batches(documents).select(*names, *(["text"] if "text" not in names else []))
     schema = StructType([*docs.select(*names).schema.fields, StructField("score", DoubleType()), StructField("predicted", IntegerType())])
     known = documents.sparkSession.sparkContext.broadcast(model)
 
