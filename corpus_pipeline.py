@@ -3,6 +3,13 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 and read again as the next stage's ``docs``; all but the last return the
 columns of ``documents``.
+
+Defined results, for every stage: a null text counts as empty, and a clean one
+is kept; a row that repeats another row's id is a row of its own, a null id is
+one too; of rows with one text the near-copy stage keeps one, but texts without
+words all stay; columns beyond those of ``documents`` are carried along by the
+first four stages, whatever their names; an empty table gives an empty one; the
+length of a text makes no difference, stages read it whole.
 """
 
 from __future__ import annotations
@@ -11,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratagraph.llm import ngram_join, packing, pii, substring_dedup, toxicity
-from stratagraph.llm.session import materialise
+from stratagraph.llm.session import drop, materialise
 
 #: The stages can't be expressed in SQL: two of them apply trained models.
 ORACLE_SQL = None
@@ -70,8 +77,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``; each stage's input is deleted once the next one's is written."""
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    before = None
     for name, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            drop(before)
+        before = docs
     return docs
