@@ -14,6 +14,9 @@ length of a text makes no difference, stages read it whole.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,12 +27,29 @@ from stratagraph.llm.session import drop, materialise
 ORACLE_SQL = None
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: Columns that stages read or write; all others get names of their own on the way through.
+OWN = ("doc_id", "text", "n_chars")
+
+
+def _carrying(stage: Stage) -> Stage:
+    """A stage for which other columns can't clash with what the operators call theirs."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = [c if c in OWN else f"_carried_{i}" for i, c in enumerate(docs.columns)]
+        return stage(spark, docs.toDF(*names), sf_dir).select(*names).toDF(*docs.columns)
+
+    return run_stage
+
+
 def _vocabulary() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@_carrying
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labelled ones, doesn't reject."""
     labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
@@ -37,19 +57,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where("predicted = 0").select(*docs.columns)
 
 
+@_carrying
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies: five words, similarity 0.8 or more."""
     return ngram_join.keep_one(docs, size=5, percent=80)
 
 
+@_carrying
 def drop_repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words of repeated 35-word windows; others stay as they are."""
-    extra = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
+    extra = tuple(c for c in docs.columns if c not in OWN)
     out = substring_dedup.remove_repeats(docs.withColumn("_text", F.col("text")), want_text=True, extra=(*extra, "_text"))
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("_text"))
     return _columns(out.withColumn("text", text), docs)
 
 
+@_carrying
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with a placeholder for each span of personal data."""
     found = pii.find(docs, pii.fit(docs), keep=[c for c in docs.columns if c != "text"], redact=True)
