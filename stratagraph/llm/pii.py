@@ -47,7 +47,7 @@ STEPS, BATCH, RATE = 260, 64, 0.02
 #: Training windows around base spans, at most, and around generated variants.
 BASE_WINDOWS, VARIANTS = 2400, 2400
 #: Characters whose emissions are held together; a longer text is held whole.
-TOGETHER = 1 << 18
+TOGETHER = 1 << 19
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -231,7 +231,9 @@ class Tagger:
         start, stop = start - left, stop + right
         turn = np.where(right, 1, -1)  # stretches that end with their text are read backwards
         whole = ~left & ~right
-        groups = [g for g in np.array_split(np.flatnonzero(~whole)[np.argsort((stop - start)[~whole], kind="stable")], -(-len(start) // 512)) if len(g)]
+        # Stretches of about one length go together, so that few are carried along for a long one.
+        octave = np.where(whole, -1, np.log2(stop - start).astype(np.int64))
+        groups = [g for k in np.unique(octave[octave >= 0]) for all_ in [np.flatnonzero(octave == k)] for g in np.array_split(all_, -(-len(all_) // 2048))]
         groups += [np.flatnonzero(whole & (stop - start == n)) for n in np.unique((stop - start)[whole])]
         for g in groups:
             size = stop[g] - start[g]
@@ -252,7 +254,13 @@ class Tagger:
         """Best tags for (time, batch) emissions."""
         score = e[0]
         back = np.empty(e.shape, np.int8)
+        few = e.shape[1] <= 64  # then one step for all pairs of tags is cheaper than nine
         for t in range(1, len(e)):
+            if few:
+                pairs = score[:, :, None] + trans
+                back[t] = pairs.argmax(1)
+                score = pairs.max(1) + e[t]
+                continue
             best, pick = score[:, :1] + trans[0], np.zeros(e.shape[1:], np.int8)
             for k in range(1, TAGS):
                 other = score[:, k : k + 1] + trans[k]
