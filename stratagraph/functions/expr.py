@@ -287,3 +287,15 @@ def quick_role() -> Column:
         .when(callees >= 5, "coordinator")
         .otherwise("internal")
     )
+
+
+def byte_size(text: str | Column) -> Column:
+    """Bytes of a size like ``2GB`` (decimal) or ``2 GiB`` (binary), any case; null where it isn't a positive size below 2**63."""
+    c = F.trim(F.col(text) if isinstance(text, str) else text)
+    number = F.regexp_extract(c, r"^([0-9]+)\s*[a-zA-Z]*$", 1)
+    unit = F.lower(F.regexp_extract(c, r"^[0-9]+\s*([a-zA-Z]*)$", 1))
+    power = F.when(unit.isin("", "b"), 0).when(unit.rlike("^[kmgt](i?b?)$"), F.instr(F.lit("kmgt"), F.substring(unit, 1, 1)))
+    step = F.when(F.contains(unit, F.lit("i")), F.lit(1024)).otherwise(F.lit(1000)).cast("decimal(38,0)")
+    scale = F.when(power == 0, 1).when(power == 1, step).when(power == 2, step * step).when(power == 3, step * step * step).when(power == 4, step * step * step * step)
+    total = F.try_multiply(F.when(F.length(F.ltrim(number, F.lit("0"))) <= 19, number).cast("decimal(20,0)"), scale.cast("decimal(18,0)"))
+    return F.when((total > 0) & (total <= F.lit(2**63 - 1)), total.cast("long"))
