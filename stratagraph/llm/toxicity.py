@@ -36,8 +36,8 @@ TRAIN_ROWS = 12_000
 FEATURES = 8192
 SUPPORT = 5
 SLOTS = 1 << 20
-#: Bytes of text whose n-grams are held together while they are counted; about 50 times as much memory.
-COUNT_RUN = 2 << 20
+#: Bytes of text whose n-grams are held together while they are counted; about 25 times as much memory.
+COUNT_RUN = 1 << 20
 PENALTY = 1e-4
 STEPS = 300
 THRESHOLD = 0.3
@@ -82,16 +82,17 @@ def _counts(train: DataFrame) -> DataFrame:
             label = batch.column("toxic").to_numpy(zero_copy_only=False).astype(bool)
             for a, _, data, offsets in T.runs(batch.column("text"), COUNT_RUN):
                 chars, at = folded(data, offsets)
-                found = [grams(chars, at, size) for size in SIZES]
-                each: dict[bool, list[np.ndarray]] = {True: [], False: []}
-                for place, number in found:
+                for size in SIZES:  # one after the other: the places of one size are held at a time
+                    place, number = grams(chars, at, size)
                     edge = np.searchsorted(place, at)
+                    each: dict[bool, list[np.ndarray]] = {True: [], False: []}
                     for i, (x, y) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist())):
                         each[bool(label[a + i])].append(np.unique(number[x:y]))
-                for kind, parts in each.items():
-                    number, n = np.unique(np.concatenate(parts) if parts else np.zeros(0, np.uint64), return_counts=True)
-                    zero = np.zeros(len(n), np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(number.view(np.int64)), pa.array(n if kind else zero), pa.array(zero if kind else n)], names=["gram", "pos", "neg"])
+                    del place, number
+                    for kind, parts in each.items():
+                        gram, n = np.unique(np.concatenate(parts) if parts else np.zeros(0, np.uint64), return_counts=True)
+                        zero = np.zeros(len(n), np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(n if kind else zero), pa.array(zero if kind else n)], names=["gram", "pos", "neg"])
 
     return train.select("text", "toxic").mapInArrow(run, "gram long, pos long, neg long").groupBy("gram").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
