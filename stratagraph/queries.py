@@ -533,7 +533,7 @@ def _(get):
 @register("pol01_check", """
 SELECT 'max_arity' AS rule, 'warn' AS level, CASE WHEN receiver <> '' THEN '(' || receiver || ').' || name ELSE name END AS name, file, '2' AS detail FROM cg_symbols WHERE kind IN ('function', 'method')
 UNION ALL SELECT 'test_coverage', 'error', upper(name), file, 'exported symbol has no mapped tests' FROM cg_symbols s WHERE kind IN ('function', 'method') AND NOT is_test AND NOT EXISTS (SELECT 1 FROM cg_test_edges t WHERE t.target = s.id)
-UNION ALL SELECT 'boundaries', 'error', 'x.y/' || from_package, from_file, 'x.y/' || to_package FROM cg_imports WHERE from_package = 'pkg1' AND to_package <> 'pkg2'""")
+UNION ALL SELECT 'boundaries', 'error', 'x.y/' || from_package, from_file, 'x.y/' || to_package FROM cg_imports WHERE from_package = 'pkg1' AND to_package <> 'pkg2' OR from_package = 'pkg2'""")
 def _(g):
     named = g.imports.withColumn("from_package", F.concat(F.lit("x.y/"), "from_package")).withColumn("import_path", F.concat(F.lit("x.y/"), "import_path"))
     layers = [{"name": "api", "packages": ["x.y/pkg1"], "may_import": ["core"]}, {"name": "core", "packages": ["x.y/pkg2"], "may_import": []}]

@@ -492,6 +492,6 @@ def _(get):
 
 scalar(
     "scl25_byte_size",
-    "SELECT p_partkey AS id, CASE p_size % 5 WHEN 0 THEN p_size WHEN 1 THEN p_size * 1000 WHEN 2 THEN p_size * 1048576 WHEN 3 THEN p_size * 1000000000 END::BIGINT AS bytes FROM part",
+    "SELECT p_partkey AS id, CASE p_size % 5 WHEN 0 THEN p_size WHEN 1 THEN p_size * 1000 WHEN 2 THEN p_size * 1048576 WHEN 3 THEN p_size::BIGINT * 1000000000 END::BIGINT AS bytes FROM part",
     lambda get: get("part").select(F.col("p_partkey").alias("id"), E.byte_size(F.concat(F.lit(" "), F.col("p_size").cast("string"), F.element_at(F.array(*map(F.lit, ("", "KB", " mib", "g ", "X"))), (F.col("p_size") % 5 + 1).cast("int")))).alias("bytes")),
 )
