@@ -17,6 +17,8 @@ def fan_in(g: CodeGraph) -> DataFrame:
     """AGG-03: (target, n): distinct sites that reach a target directly or through wrappers; unresolved ones by spelling."""
     pairs = site_targets(g.calls).select("caller", "file", "line", "column", "callee_raw", "target")
     wrapped = g.calls.where("synthetic").select(F.col("caller_symbol_id").alias("id")).where("id IS NOT NULL").distinct()
+    if wrapped.isEmpty():
+        return pairs.distinct().groupBy("target").agg(F.count("*").alias("n"))
     ahead = forwarding(g.calls, wrapped.select(F.col("id").alias("seed"), "id"), reverse=False).where("seed <> id")
     through = pairs.join(ahead, pairs["target"] == ahead["seed"]).select("caller", "file", "line", "column", "callee_raw", F.col("id").alias("target"))
     return pairs.unionByName(through).distinct().groupBy("target").agg(F.count("*").alias("n"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratagraph.plans.graph import cut
+from stratagraph.plans.graph import cut, drop
 
 ROUNDS = 10_000
 
@@ -31,16 +31,20 @@ def _closure(edges: DataFrame, seeds: DataFrame, max_depth: int | None) -> DataF
     key = ["seed", "way", "id"]
     try:
         seen = delta = cut(seeds.select(*key).distinct().withColumn("depth", F.lit(0)))
-        parts = 1
+        parts = [seen]
         for depth in range(1, (max_depth if max_depth is not None else ROUNDS) + 1):
             d = delta.select("seed", "way", F.col("id").alias("src"))
             found = d.join(steps, ["way", "src"]).select("seed", "way", F.col("dst").alias("id")).distinct()
             delta = cut(found.join(seen, key, "left_anti").withColumn("depth", F.lit(depth)))
             if delta.isEmpty():
+                drop(delta)
                 break
-            seen, parts = seen.unionByName(delta), parts + 1
-            if parts == 5:  # few files to read in each round
-                seen, parts = cut(seen), 1
+            seen = seen.unionByName(delta)
+            parts.append(delta)
+            if len(parts) >= 6:  # few files to read in each round; what was folded goes, but for the delta that is still read
+                seen = cut(seen)
+                drop(*parts[:-1])
+                parts = [delta, seen]
         return seen
     finally:
         steps.unpersist()
@@ -78,9 +82,11 @@ def best_paths(edges: DataFrame, seeds: DataFrame, cost: list[Column], max_steps
         moved = moved.select("seed", F.col("dst").alias("id"), rank.alias("rank"), F.concat("path", F.array("dst")).alias("path"))
         moved = moved.groupBy("seed", "id").agg(F.min(F.struct("rank", "path")).alias("n"))
         old = best.select("seed", "id", F.struct("rank", "path").alias("o"))
-        delta = moved.join(old, ["seed", "id"], "left").where("o IS NULL OR n < o").select("seed", "id", "n.rank", "n.path")
-        delta = cut(delta)
+        better = moved.join(old, ["seed", "id"], "left").where("o IS NULL OR n < o").select("seed", "id", "n.rank", "n.path")
+        before, delta = delta, cut(better)
         if delta.isEmpty():
+            drop(delta)
             break
-        best = cut(best.join(delta, ["seed", "id"], "left_anti").unionByName(delta))
+        last, best = best, cut(best.join(delta, ["seed", "id"], "left_anti").unionByName(delta))
+        drop(*{id(x): x for x in (before, last)}.values())
     return best

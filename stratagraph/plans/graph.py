@@ -53,4 +53,14 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{base.rstrip('/')}/cut-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._written = path
+    return out
+
+
+def drop(*written: DataFrame) -> None:
+    """Delete what ``cut`` wrote, once no plan that will still run reads it."""
+    for df in written:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._written)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
