@@ -12,7 +12,10 @@ here for the kind of file named ``word_bpe``: NFC, white space dropped, lower
 case of each character, words by pattern, byte-level symbols, ``</w>`` at word
 ends, special tokens found in the raw text.
 
-Defined results: null and empty texts have no tokens and decode to "".
+Defined results: null and empty texts have no tokens and decode to "".  A row
+that repeats an id or a text is a row of its own, with the same tokens; texts
+of any length are encoded whole; other columns are ignored; an empty table
+gives an empty table.
 """
 
 from __future__ import annotations

@@ -17,8 +17,10 @@ it) are O without being decoded, so the path is the best one of the whole text.
 A model span is kept if it has the characters its kind needs and meets no base
 span.
 
-Offsets are code points, ends exclusive.  Null texts are empty.  Equal texts
-have equal spans.  Other columns are ignored; an empty table gives an empty one.
+Offsets are code points, ends exclusive.  Null texts are empty.  Rows that
+repeat an id are rows of their own.  Base spans of different kinds may overlap
+and all count; redaction then puts one placeholder for the first.  Other
+columns are ignored; an empty table gives an empty one.
 """
 
 from __future__ import annotations

@@ -150,3 +150,42 @@ def test_keys_beyond_broadcast(spark, odd, odd_rows, monkeypatch):
     monkeypatch.setattr(session, "REPEATED_IDS", 0)
     got = substring_dedup.remove_repeats(odd).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
     assert key(got) == key(brute.op2(odd_rows))
+
+
+def test_compact(spark):
+    """A path over two documents, a branch, a cycle without a branch, and a long chain of single arcs."""
+    arcs = [
+        (1, 2, 10, 11, 1, 0, 0), (2, 1, 11, 12, 1, 0, 2), (3, 4, 12, 13, 2, 0, 7), (4, 1, 13, 14, 2, 0, 11), (5, 1, 13, 15, 3, 0, 0),
+        (6, 1, 20, 21, 4, 0, 0), (7, 1, 21, 20, 5, 0, 0),
+        *[(100 + i, 1, 1000 + i, 1001 + i, 50 + i, 0, 3) for i in range(37)],
+    ]
+    df = spark.createDataFrame([(a, -a, cnt, src, dst, d, k, start) for a, cnt, src, dst, d, k, start in arcs], "a1 long, a2 long, cnt int, src long, dst long, doc_id long, k long, start long")
+    got = {r["a1"]: (r["p1"], r["p2"], r["offset"]) for r in substring_dedup.compact(df).collect()}
+    assert got == {
+        1: (1, -1, 0), 2: (1, -1, 2), 3: (1, -1, 3), 4: (4, -4, 0), 5: (5, -5, 0), 6: (6, -6, 0), 7: (7, -7, 0), **{100 + i: (100, -100, i) for i in range(37)}
+    }
+
+
+def test_long_spans(spark):
+    rows = [(1, 0, 5, 2, 9, 9, 0), (1, 0, 7, 3, 9, 9, 2), (1, 0, 20, 1, 9, 9, 15), (1, 0, 30, 1, 9, 9, 0), (None, 0, 4, 1, 8, 8, 4)]
+    df = spark.createDataFrame(rows, "doc_id long, k long, start long, cnt int, p1 long, p2 long, offset long")
+    got = sorted((str(r["doc_id"]), r["start"], r["length"], r["offset"]) for r in substring_dedup.long_spans(df, 35).collect())
+    assert got == [("1", 5, 39, 0), ("1", 20, 35, 15), ("1", 30, 35, 0), ("None", 4, 35, 4)]
+
+
+def test_suffix_hot(spark, odd, odd_rows, monkeypatch):
+    """Fragments around frequent minimizers are cut by a second one, with the same result."""
+    monkeypatch.setattr(suffix_dedup, "HOT", 10)
+    got = suffix_dedup.remove_earlier(odd).select("doc_id", "n_bytes", "n_removed", "kept_sha256").collect()
+    assert key(got) == key(earlier([(d, t or "") for d, t in odd_rows]))
+
+
+def test_sketch_bounds():
+    """The parity sketch never says that two sets are farther apart than they are."""
+    rng = np.random.default_rng(2)
+    for n in (1, 30, 400, 3000):
+        x = rng.integers(0, 2**63, n).astype(np.uint64)
+        y = np.concatenate([x[: n - n // 4], rng.integers(0, 2**63, n // 3).astype(np.uint64)])
+        a, b = ngram_join._sketch(x).view(np.uint8), ngram_join._sketch(y).view(np.uint8)
+        apart = len(np.setxor1d(x, y))
+        assert int(np.unpackbits(a ^ b).sum()) <= apart
