@@ -18,7 +18,7 @@ VIEWS: dict[str, str] = {
     "cg_symbols": "SELECT CAST(p_partkey AS STRING) AS id, p_name AS name, CAST(p_partkey % 25 AS INT) AS package_key, CASE WHEN p_partkey % 10 < 6 THEN 'function' WHEN p_partkey % 10 < 8 THEN 'method' WHEN p_partkey % 10 = 8 THEN 'struct' ELSE 'interface' END AS kind, CASE WHEN p_partkey % 10 IN (6, 7) THEN p_brand ELSE '' END AS receiver, concat('pkg', CAST(p_partkey % 25 AS STRING), '/', lower(p_type), CASE WHEN p_size >= 46 THEN '_test.go' ELSE '.go' END) AS file, CAST(p_partkey * 10 AS INT) AS line, CAST(p_partkey * 10 + p_size % 10 AS INT) AS end_line, p_size % 10 AS arity, p_size >= 46 AS is_test, p_brand IN ('Brand#1','Brand#2','Brand#3') AS exported, concat('pkg', CAST(p_partkey % 25 AS STRING)) AS package_name, concat('func ', p_name, '(', p_brand, ' int) (', lower(p_type), ', error)') AS signature, p_type AS part_type, p_brand AS brand FROM {part}",
     "cg_calls": "SELECT CAST(caller AS STRING) AS caller, CAST(callee AS STRING) AS callee, CAST(file AS STRING) AS file, line, CASE WHEN l_linestatus = 'F' THEN 'resolved_static' ELSE 'cha_possible_target' END AS resolution, CASE WHEN l_returnflag = 'R' THEN 'discarded' WHEN l_returnflag = 'A' THEN 'assigned' ELSE '' END AS return_usage FROM (SELECT l_partkey AS caller, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate) AS callee, l_orderkey AS file, l_linenumber AS line, l_returnflag, l_linestatus FROM {lineitem}) q WHERE callee IS NOT NULL AND callee <> caller",
     "cg_calls_thin": "SELECT DISTINCT caller, callee, resolution FROM {cg_calls} WHERE line = 1 AND return_usage = 'discarded'",
-    "cg_calls_mixed": "SELECT c.caller, CASE WHEN c.line = 2 THEN NULL ELSE c.callee END AS callee, CASE WHEN c.line = 2 THEN s.name ELSE c.callee END AS callee_raw, c.file, c.line, c.line = 6 AS synthetic, CASE WHEN c.line = 6 THEN 'synthetic_wrapper' WHEN c.line = 2 THEN '' ELSE c.resolution END AS resolution FROM {cg_calls} c JOIN {cg_symbols} s ON s.id = c.callee",
+    "cg_calls_mixed": "SELECT c.caller, CASE WHEN c.line = 2 THEN NULL ELSE c.callee END AS callee, CASE WHEN c.line = 2 THEN s.name ELSE c.callee END AS callee_raw, c.file, c.line, c.line = 6 AND CAST(c.caller AS BIGINT) % 50 = 7 AS synthetic, CASE WHEN c.line = 6 AND CAST(c.caller AS BIGINT) % 50 = 7 THEN 'synthetic_wrapper' WHEN c.line = 2 THEN '' ELSE c.resolution END AS resolution FROM {cg_calls} c JOIN {cg_symbols} s ON s.id = c.callee",
     "cg_imports": "SELECT CAST(o_orderkey AS STRING) AS from_file, concat('pkg', CAST(c_nationkey AS STRING)) AS from_package, concat('pkg', CAST(s_nationkey AS STRING)) AS to_package FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {lineitem} ON l_orderkey = o_orderkey JOIN {supplier} ON s_suppkey = l_suppkey WHERE c_nationkey <> s_nationkey",
     "cg_test_edges": "SELECT CAST(l_orderkey AS STRING) AS test_id, CAST(l_partkey AS STRING) AS target, CASE WHEN l_linestatus = 'F' THEN 'resolved_static' ELSE '' END AS resolution FROM {lineitem} WHERE l_returnflag = 'R' AND l_linenumber = 2",
     "cg_iface_methods": "SELECT DISTINCT p_brand AS iface, p_type AS method FROM {part} WHERE p_partkey % 20 = 9",
