@@ -68,3 +68,21 @@ def test_taint_writes_no_row_for_each_pair(spark, written):
     got = {tuple(r) for r in flow.reach(every, edge_frame(spark, edges), every.where("function IN ('n1', 'n2')")).collect()}
     assert got == {(f"n{i}", x) for i in range(150) for x in walk(edges, f"n{i}") & {"n1", "n2"}} and len(got) > 200
     assert sum(written) < 150 * 150 / 3
+
+
+def graph(spark, **rels):
+    from test_operators import rel
+
+    return CodeGraph(spark, {k: rel(spark, k, *v) for k, v in rels.items()})
+
+
+def test_tests_are_counted_without_pairs(spark, written):
+    r = random.Random(5)
+    calls = [(f"n{r.randrange(60)}", f"n{r.randrange(60)}", r.choice(["resolved_static", "cha_possible_target"])) for _ in range(170)]
+    tests = [(f"t{i % 250}", f"n{r.randrange(60)}", r.choice(["resolved_static", ""])) for i in range(300)] + [("n1", "n2", ""), ("n2", "n1", "resolved_static")]
+    g = graph(spark, calls=[{"caller_symbol_id": a, "callee_symbol_id": b, "resolution": x} for a, b, x in calls], test_edges=[{"test_func": a, "target_symbol_id": b, "resolution": x} for a, b, x in tests])
+    got = {(x["id"], x["exact_tests"], x["tests"]) for x in traverse.test_reach(g, g.test_edges.selectExpr("test_func AS id")).collect()}
+    ways = {e: [(a, b) for a, b, x in calls + tests if not e or x == "resolved_static"] for e in (True, False)}
+    hit = {e: [x for t in {t for t, _, _ in tests} for x in walk(ways[e], t) - {t}] for e in ways}
+    assert got == {(x, hit[True].count(x), hit[False].count(x)) for x in set(hit[False])}
+    assert sum(written) < len(hit[False]) + len(hit[True])
