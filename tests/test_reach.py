@@ -86,3 +86,19 @@ def test_tests_are_counted_without_pairs(spark, written):
     hit = {e: [x for t in {t for t, _, _ in tests} for x in walk(ways[e], t) - {t}] for e in ways}
     assert got == {(x, hit[True].count(x), hit[False].count(x)) for x in set(hit[False])}
     assert sum(written) < len(hit[False]) + len(hit[True])
+
+
+def test_trace_keeps_one_path_a_node(spark, written):
+    r = random.Random(7)
+    calls = {(f"n{r.randrange(90)}", f"n{r.randrange(90)}") for _ in range(400)}
+    handlers = ["n3", "n50", "n71", "n72"]
+    g = graph(spark, calls=[{"caller_symbol_id": a, "callee_symbol_id": b} for a, b in calls], routes=[{"handler": h} for h in handlers], errors=[{"message": "broke", "function": f"n{i}"} for i in range(0, 90, 2)] + [{"message": "broke", "function": "lone"}])
+    got = {x["seed"]: x["path"] for x in traverse.trace(g, "broke", 0).collect()}
+    used = sum(written)
+    start = spark.createDataFrame([(f"n{i}", f"n{i}") for i in range(0, 90, 2)], "seed string, id string")
+    every = fixpoint.best_paths(edge_frame(spark, {(b, a) for a, b in calls}), start, [F.lit(0), F.lit(1)]).collect()
+    want = {}
+    for x in sorted((x for x in every if x["id"] in handlers), key=lambda x: (x["rank"]["r1"], x["id"]), reverse=True):
+        want[x["seed"]] = x["path"][::-1]
+    assert got == want and len(want) > 30 and max(map(len, want.values())) > 2
+    assert used < 90 * 6
