@@ -102,3 +102,42 @@ def test_trace_keeps_one_path_a_node(spark, written):
         want[x["seed"]] = x["path"][::-1]
     assert got == want and len(want) > 30 and max(map(len, want.values())) > 2
     assert used < 90 * 6
+
+
+def flow_graph(spark, facts, functions):
+    from test_operators import fact
+
+    return graph(spark, flow_facts=[fact(f"p::{a}", kind, line, **more) for a, kind, line, more in facts], flow_functions=[{"id": f"p::{n}", "name": n, "file": "p/a.go", "params": [("s", "string")]} for n in functions])
+
+
+def findings(df):
+    return sorted((r["source_function"], r["source_line"], r["sink_function"], r["sink_kind"], r["line"], r["severity"], r["confidence"]) for r in df.collect())
+
+
+def test_flow_without_paths_finds_the_same(spark):
+    call = lambda a, to, line, by: (a, "call", line, {"target": f"$call:{line}:1", "callee": to, "inputs": [by], "arguments": [[by]]})
+    facts = [
+        ("a", "source", 1, {"target": "v", "source_kind": "environment"}), ("b", "source", 2, {"target": "w.x", "source_kind": "http_request"}), ("a", "source", 9, {"target": "other", "source_kind": "environment"}),
+        call("a", "mid", 3, "v"), call("b", "mid", 4, "w"), call("mid", "quote", 5, "s"), call("mid", "out.side", 6, "s"), call("mid", "mid", 16, "s"),
+        ("quote", "return", 7, {"target": "$return:0", "inputs": ["s"]}), ("mid", "return", 8, {"target": "$return:0", "inputs": ["$call:5:1"]}),
+        *((f, "sink", line, {"sink_kind": kind, "inputs": [by]}) for f, line, kind, by in [("mid", 10, "sql_query", "$call:5:1"), ("mid", 11, "network", "$call:5:1"), ("mid", 12, "network", "$call:6:1"), ("a", 13, "network", "$call:3:1"), ("b", 14, "sql_query", "$call:4:1"), ("a", 15, "filesystem", "other"), ("b", 17, "filesystem", "w")]),
+    ]
+    g = flow_graph(spark, facts, ["a", "b", "mid", "quote"])
+    policy = {"sanitizers": [{"function": "quote", "for": ["sql_query"]}]}
+    want, _ = flow.flow(g, policy)
+    got, report = flow.flow(g, policy, paths=False)
+    assert "path" not in got.columns and report["complete"]
+    assert findings(got) == findings(want) and {r[-1] for r in findings(got)} == {"high", "low"} and len(findings(got)) > 6
+    alone = flow_graph(spark, [facts[2], facts[-2]], ["a"])  # a source and its sink with no step between
+    assert [r[:5] for r in findings(flow.flow(alone, paths=False)[0])] == [("p::a", 9, "p::a", "filesystem", 15)]
+
+
+def test_sources_share_one_propagation(spark, written, monkeypatch):
+    monkeypatch.setattr(flow, "cut", fixpoint.cut)
+    edges = {(a, b) for a, b in random_edges(11, 40, 110) if a != b}
+    end = max((f"n{i}" for i in range(40)), key=lambda x: len(walk({(b, a) for a, b in edges}, x)))
+    facts = [(f"n{i}", "source", 1, {"target": "s", "source_kind": "environment"}) for i in range(40)] + [(end, "sink", 2, {"sink_kind": "sql_query", "inputs": ["s"]})]
+    facts += [(a, "call", 10 + int(b[1:]), {"target": "$call:" + b, "callee": b, "inputs": ["s"], "arguments": [["s"]]}) for a, b in edges]
+    got, report = flow.flow(flow_graph(spark, facts, [f"n{i}" for i in range(40)]), k=1, paths=False)
+    assert {(r[0], r[2]) for r in findings(got)} == {(f"p::n{i}", f"p::{end}") for i in range(40) if end in walk(edges, f"n{i}")} and len(findings(got)) > 20
+    assert report["attempted"] < 40 * len(edges) / 4
