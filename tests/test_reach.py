@@ -141,3 +141,18 @@ def test_sources_share_one_propagation(spark, written, monkeypatch):
     got, report = flow.flow(flow_graph(spark, facts, [f"n{i}" for i in range(40)]), k=1, paths=False)
     assert {(r[0], r[2]) for r in findings(got)} == {(f"p::n{i}", f"p::{end}") for i in range(40) if end in walk(edges, f"n{i}")} and len(findings(got)) > 20
     assert report["attempted"] < 40 * len(edges) / 4
+
+
+def test_call_strings_only_where_a_value_returns(spark):
+    layers = [[f"l{i}x{j}" for j in range(5)] for i in range(4)]
+    call = lambda a, to, line: (a, "call", line, {"target": f"$call:{line}:1", "callee": to, "inputs": ["s"], "arguments": [["s"]]})
+    facts = [(f, "source", 1, {"target": "s", "source_kind": "environment"}) for f in layers[0]]
+    facts += [call(a, b, 10 + j) for x, y in zip(layers, layers[1:]) for a in x for j, b in enumerate(y)]
+    facts += [call(f, "same", 20) for f in layers[-1]] + [("same", "return", 21, {"target": "$return:0", "inputs": ["s"]})]
+    facts += [(f, "sink", 22, {"sink_kind": "sql_query", "inputs": ["$call:20:1"]}) for f in layers[-1]]
+    # One sink that a certain and an uncertain value reach.
+    facts += [call("l0x0", "out.side", 60), ("l0x0", "sink", 61, {"sink_kind": "network", "inputs": ["s", "$call:60:1"]})]
+    got, report = flow.flow(flow_graph(spark, facts, [*sum(layers, []), "same"]), k=1, paths=False)
+    want = [(f"p::{a}", 1, f"p::{b}", "sql_query", 22, "high", "high") for a in layers[0] for b in layers[-1]] + [("p::l0x0", 1, "p::l0x0", "network", 61, "medium", "high")]
+    assert findings(got) == sorted(want) and report["complete"]
+    assert report["attempted"] < 150  # each layer's functions once, not once for each way in
